@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam
+from . import decontam, quality
 
-_MODULES = {"op8_decontamination": decontam}
+_MODULES = {"op8_decontamination": decontam, "op10_quality": quality}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
