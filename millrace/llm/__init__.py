@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, quality
+from . import bpe, decontam, quality, tokenstore
 
-_MODULES = {"op2_bpe": bpe, "op8_decontamination": decontam, "op10_quality": quality}
+_MODULES = {"op2_bpe": bpe, "op6_token_store": tokenstore, "op8_decontamination": decontam, "op10_quality": quality}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
