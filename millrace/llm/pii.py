@@ -25,9 +25,8 @@ from .common import table, written
 KINDS = ("email", "ip", "card", "phone")
 MIN_SEEDS = 3
 CONFIDENT = 0.6
+MIN_SHARE = 0.005
 ROUNDS = 3
-#: Induced contexts up to this many are broadcast to the counting pass (16 bytes each); beyond it counts are joined.
-BROADCAST_CONTEXTS = 200_000
 
 _RULES = {
     "email": r"(?:\\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\\.[A-Za-z0-9-]++)++",
@@ -95,27 +94,26 @@ def analyse(docs: DataFrame) -> DataFrame:
     return written(rows.select("doc_id", "key", *(F.expr(f"transform({k}, x -> struct(x.s as s, x.e as e))").alias(k) for k in KINDS), "seeds", "cand"), "pii-spans")
 
 
-def _context_counts(docs: DataFrame, contexts: DataFrame, n: int) -> DataFrame:
-    """c, n: how often each induced context stands before any word, over all texts."""
+def _context_counts(docs: DataFrame, contexts: DataFrame) -> DataFrame:
+    """c, n: how often each induced context stands before any word, over all texts. At most 4 / MIN_SHARE contexts are broadcast."""
     line = F.explode(F.split(F.lower("text"), "\n")).alias("line")
     words = docs.where("text IS NOT NULL").select(line).where("line <> ''").select(F.split(F.concat(F.lit("^ "), F.col("line")), " +").alias("w"))
     seen = words.select(F.explode(F.expr("transform(sequence(1, greatest(size(w) - 2, 1)), i -> xxhash64(slice(w, i, 2)))")).alias("c"))
-    if n <= BROADCAST_CONTEXTS:
-        return seen.join(F.broadcast(contexts), "c").groupBy("c").agg(F.count("*").alias("n"))
-    return seen.groupBy("c").agg(F.count("*").alias("n")).join(contexts, "c")
+    return seen.join(F.broadcast(contexts), "c").groupBy("c").agg(F.count("*").alias("n"))
 
 
 def discover(docs: DataFrame, analysed: DataFrame, rounds: int = ROUNDS) -> DataFrame | None:
     """key, k (kind's number), s, e of the spans that confident patterns add; None if no pattern has enough seeds."""
     seeds = analysed.select(F.explode("seeds").alias("x")).select("x.*").groupBy("k", "c", "v").agg(F.count("*").alias("m"))
     seeds = written(seeds, "pii-seeds")
-    patterns = seeds.groupBy("k", "c").agg(F.count("*").alias("n_seeds"), F.sum("m").alias("sure")).where(F.col("n_seeds") >= MIN_SEEDS)
+    patterns = seeds.groupBy("k", "c").agg(F.count("*").alias("n_seeds"), F.sum("m").alias("sure"))
+    total = seeds.groupBy("k").agg(F.countDistinct("v").alias("of_kind"))
+    patterns = patterns.join(F.broadcast(total), "k").where((F.col("n_seeds") >= MIN_SEEDS) & (F.col("n_seeds") >= MIN_SHARE * F.col("of_kind"))).drop("of_kind")
     patterns = written(patterns, "pii-patterns")
     contexts = patterns.select("c").distinct()
-    n = contexts.count()
-    if not n:
+    if contexts.isEmpty():
         return None
-    patterns = written(patterns.join(_context_counts(docs, contexts, n), "c"), "pii-counted")
+    patterns = written(patterns.join(_context_counts(docs, contexts), "c"), "pii-counted")
     values = analysed.select(F.explode("cand").alias("x")).groupBy("x.c", "x.v").agg(F.count("*").alias("m"))
     edges = written(values.join(patterns, "c").select("k", "c", "v", "m"), "pii-edges")
     confidence = patterns.select("k", "c", (F.col("sure") / F.col("n")).alias("p"))
