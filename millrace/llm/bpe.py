@@ -35,7 +35,10 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, small_batches, table
 
-MEMO_ENTRIES = 600_000
+#: Entries of one generation of the chunk memo; two are held.
+MEMO_ENTRIES = 300_000
+#: Signs that end a chunk as a pre-token of their own after a letter (no apostrophe: it may start a contraction).
+ENDS = ".,;:!?*#$%&|)"
 MEMO_CHARS = 48
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -259,7 +262,7 @@ class Transducer:
                 merger = Merger(self.v)
                 return merger.feed(data) + merger.close()
             ids = self.v.merge_all(data)
-            if len(self.memo) >= MEMO_ENTRIES:
+            if len(self.memo) >= MEMO_ENTRIES // 4:
                 self.memo.clear()
             self.memo[s] = ids
         return ids
@@ -299,20 +302,26 @@ class Chunks(dict):
 
     def __init__(self, encode_piece: Callable[[str], list[int]], newline: int):
         self.encode_piece, self.newline = encode_piece, array("I", [newline]).tobytes()
+        self.ends: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.heads = Heads(self)
 
     def make(self, own: dict, s: str, lead: str) -> bytes:
         if not s or s[0].isspace() or s[-1].isspace():
             raise NotSimple
-        ids = array("I", self.encode_piece(lead + s)).tobytes()
-        if len(s) <= MEMO_CHARS:
-            if len(own) >= MEMO_ENTRIES:
-                own.clear()
-            own[s] = ids
-        return ids
+        core = s.rstrip(ENDS)
+        if len(core) < len(s) and core and core[-1] <= "\u00ff" and core[-1].isalpha():
+            tail = s[len(core) :]
+            end = self.ends.get(tail)
+            if end is None:
+                end = array("I", self.encode_piece(tail)).tobytes()
+                if len(tail) <= 4:
+                    self.ends[tail] = end
+            return own[core] + end
+        return array("I", self.encode_piece(lead + s)).tobytes()
 
     def __missing__(self, s: str) -> bytes:
-        return self.make(self, s, " ")
+        return remember(self, s, " ", self)
 
     def encode(self, text: str) -> bytes | None:
         if not text:
@@ -336,9 +345,23 @@ class Heads(dict):
 
     def __init__(self, chunks: Chunks):
         self.chunks = chunks
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, s: str) -> bytes:
-        return self.chunks.make(self, s, "")
+        return remember(self, s, "", self.chunks)
+
+
+def remember(own: Chunks | Heads, s: str, lead: str, chunks: Chunks) -> bytes:
+    """The ids of a chunk that the young generation lacks: from the old one, or made."""
+    ids = own.old.get(s)
+    if ids is None:
+        ids = chunks.make(own, s, lead)
+    if len(s) <= MEMO_CHARS:
+        if len(own) >= MEMO_ENTRIES:
+            own.old = dict(own)
+            own.clear()
+        own[s] = ids
+    return ids
 
 
 class Detokenizer:

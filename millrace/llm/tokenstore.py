@@ -188,11 +188,15 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.wide = self.tokenizer.get_vocab_size() > 65536
         self.chunks = Chunks(self.piece, self.piece("\n")[0])
 
     def piece(self, text: str) -> list[int]:
+        """A piece's ids. A blank and ASCII letters are one pre-token, which the library's model takes as it is."""
+        if text[:1] == " " and text.isascii() and text[1:].isalpha():
+            return [t.id for t in self.model.tokenize("\u0120" + text[1:])]
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def encode(self, text: str) -> bytes:
