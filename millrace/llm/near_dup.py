@@ -4,9 +4,11 @@ A text's k-mers are its runs of ``K`` words, labelled by occurrence. Each sketch
 the least hashes and keeps them in text order, so that equal sketches speak for a small edit distance and not only for
 common k-mers. ``ROWS`` sketches make a band; texts that share a band are candidates.
 
-Copies of a text are one node (its digest). In each band's bucket every node is compared with the bucket's hub only, so
-a bucket of n texts costs n comparisons. Then components are formed, and buckets that still hold several components
-are dealt new hubs, until a round links nothing; no bucket or candidate list is cut. A candidate pair is a link if
+Copies of a text are one node (its digest). In each band's bucket every node is compared with the bucket's hub, so a
+bucket of n texts costs n comparisons and no bucket is cut. The hub is the node that shares most buckets with most
+others: the text that a group of near copies was made from agrees with nearly all of them, while two copies may be
+too far apart. Then components are formed, and in buckets that still hold several of them each component's delegate
+is compared with ``len(ORDERS)`` more hubs. Hubs are a parameter of recall, as the bands are. A candidate pair is a link if
 its k-mers' Jaccard similarity (with occurrences) is ``SIMILARITY`` or more and an alignment inside the band of
 diagonals that this similarity allows confirms it (edit similarity of ``SIMILARITY`` or more).
 
@@ -27,6 +29,8 @@ from .common import map_rows, small_batches, table, written
 
 K, L, BANDS, ROWS = 5, 2, 16, 2
 SIMILARITY = 0.8
+#: The second turn's hubs: the first delegate of a bucket in each of these orders, which are the same in all buckets.
+ORDERS = ("central", "xxhash64(digest)", "-xxhash64(digest)")
 #: Key tables of up to this many rows (16-byte digests) are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -224,32 +228,30 @@ def components(edges: DataFrame) -> DataFrame:
 
 def link(docs: DataFrame, sketched: DataFrame) -> DataFrame:
     """node, root for each digest that is linked to another one."""
-    spark = docs.sparkSession
     nodes = sketched.groupBy("digest").agg(F.first("bands").alias("bands"))
     member = nodes.select("digest", F.explode("bands").alias("band"))
-    full = member.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    member = written(member.join(full, "band"), "buckets")
-    roots = tried = edges = None
-    for turn in range(1 << 20):
-        own = member if roots is None else member.join(roots, member.digest == roots.node, "left").select("band", "digest", F.coalesce("root", "digest").alias("root"))
-        own = own.withColumn("root", F.col("digest")) if roots is None else own
-        order = F.col("digest") if turn == 0 else F.xxhash64("digest", F.lit(turn))
-        # one delegate of each component in each bucket, then the bucket's hub among the delegates
-        delegates = own.groupBy("band", "root").agg(F.min(F.struct(order.alias("o"), "digest")).alias("x")).select("band", "root", "x.o", "x.digest")
-        hubs = delegates.groupBy("band").agg(F.min(F.struct("o", "digest", "root")).alias("h"), F.count("*").alias("n")).where("n > 1").select("band", F.col("h.digest").alias("hub"), F.col("h.root").alias("hub_root"))
-        pairs = delegates.join(hubs, "band").where("root <> hub_root").select(F.least("hub", "digest").alias("a"), F.greatest("hub", "digest").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        if pairs.isEmpty():
-            break
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = written(verified(docs, pairs), "links")
-        if found.isEmpty():
-            break
-        edges = found if edges is None else edges.unionByName(found)
-        roots = components(edges)
-    return roots if roots is not None else spark.createDataFrame([], "node binary, root binary")
+    size = member.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    member = written(member.join(size, "band"), "buckets")
+    central = member.groupBy("digest").agg(F.sum("n").alias("central"))
+    member = written(member.select("band", "digest").join(central, "digest"), "central")
+
+    def edges_to(hubs: DataFrame, others: DataFrame) -> DataFrame:
+        joined = others.join(hubs, "band").where("root <> hub_root")
+        return joined.select(F.least("hub", "digest").alias("a"), F.greatest("hub", "digest").alias("b")).distinct()
+
+    hubs = member.groupBy("band").agg(F.max(F.struct("central", "digest")).alias("h")).select("band", F.col("h.digest").alias("hub"), F.col("h.digest").alias("hub_root"))
+    first = written(edges_to(hubs, member.withColumn("root", F.col("digest"))), "pairs")
+    links = written(verified(docs, first), "links")
+    roots = components(links)
+    own = member.join(roots, member.digest == roots.node, "left").select("band", "digest", "central", F.coalesce("root", "digest").alias("root"))
+    mixed = own.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band")
+    delegates = own.join(mixed, "band").groupBy("band", "root").agg(F.max(F.struct("central", "digest")).alias("d")).select("band", "root", "d.central", "d.digest")
+    delegates = written(delegates, "delegates")
+    best = [F.max(F.struct(F.expr(o).alias("o"), "digest", "root")).alias(f"h{i}") for i, o in enumerate(ORDERS)]
+    hubs = delegates.groupBy("band").agg(*best).select("band", F.explode(F.array_distinct(F.array(*(F.struct(F.col(f"h{i}.digest").alias("hub"), F.col(f"h{i}.root").alias("hub_root")) for i in range(len(ORDERS)))))).alias("h"))
+    second = written(edges_to(hubs.select("band", "h.hub", "h.hub_root"), delegates).join(first, ["a", "b"], "left_anti"), "pairs")
+    more = written(verified(docs, second), "links")
+    return roots if more.isEmpty() else components(links.unionByName(more))
 
 
 def classes(docs: DataFrame) -> DataFrame:
