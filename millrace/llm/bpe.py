@@ -35,10 +35,8 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, small_batches, table
 
-#: Entries of one generation of the chunk memo; two are held.
-MEMO_ENTRIES = 300_000
-#: Signs that end a chunk as a pre-token of their own after a letter (no apostrophe: it may start a contraction).
-ENDS = ".,;:!?*#$%&|)"
+#: Pre-tokens in one generation of the memo; two are held.
+MEMO_ENTRIES = 350_000
 MEMO_CHARS = 48
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -49,7 +47,7 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _byte_signs() -> dict[str, int]:
+def byte_signs() -> dict[str, int]:
     """The printable stand-ins of the byte-level alphabet."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
     out, extra = {}, 0
@@ -68,7 +66,7 @@ class Vocabulary:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        signs = _byte_signs()
+        signs = byte_signs()
         self.id_of: dict[bytes, int] = {bytes(signs[c] for c in t): i for t, i in spec["model"]["vocab"].items()}
         self.merge: dict[tuple[int, int], tuple[int, int]] = {}
         self.parts: dict[int, tuple[int, int]] = {}
@@ -113,7 +111,7 @@ class Vocabulary:
         known = self._pairs.get((a, b))
         if known is None:
             known = self.merge_all(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
-            if len(self._pairs) > MEMO_ENTRIES:
+            if len(self._pairs) > MEMO_ENTRIES // 4:
                 self._pairs.clear()
             self._pairs[(a, b)] = known
         return known
@@ -191,10 +189,9 @@ class Transducer:
         self.v = vocabulary
         self.split = regex.compile(PATTERN)
         self.special = re.compile("|".join(map(re.escape, sorted(vocabulary.special, key=len, reverse=True)))) if vocabulary.special else None
-        self.memo: dict[str, list[int]] = {}
+        self.memo = Memo(self.piece)
         self.held = self.tail = ""
         self.open: tuple[Merger, regex.Pattern] | None = None
-        self.chunks = Chunks(self.general, vocabulary.byte[10])
 
     # streaming
 
@@ -230,7 +227,7 @@ class Transducer:
             for m in self.split.finditer(text):
                 if len(text) - m.start() < 4 or text[m.start() :].isspace():
                     break
-                out += self.pretoken(waits) if waits else []
+                out += array("I", self.memo[waits]) if waits else []
                 cut, waits = m.start(), m.group()
             text = text[cut:]
             if len(text) <= MEMO_CHARS:
@@ -250,30 +247,21 @@ class Transducer:
         if self.open:
             merger, self.open = self.open[0], None
             return merger.feed(text.encode("utf-8")) + merger.close()
-        return self.general(text)
+        return array("I", self.raw(text)).tolist()
 
     # whole texts
 
-    def pretoken(self, s: str) -> list[int]:
-        ids = self.memo.get(s)
-        if ids is None:
-            data = s.encode("utf-8")
-            if len(s) > MEMO_CHARS:
-                merger = Merger(self.v)
-                return merger.feed(data) + merger.close()
-            ids = self.v.merge_all(data)
-            if len(self.memo) >= MEMO_ENTRIES // 4:
-                self.memo.clear()
-            self.memo[s] = ids
-        return ids
-
-    def general(self, text: str) -> list[int]:
-        return [i for m in self.split.finditer(text) for i in self.pretoken(m.group())]
+    def piece(self, s: str) -> list[int]:
+        data = s.encode("utf-8")
+        if len(s) <= MEMO_CHARS:
+            return self.v.merge_all(data)
+        merger = Merger(self.v)
+        return merger.feed(data) + merger.close()
 
     def raw(self, text: str) -> bytes:
         """Ids of a text without special strings, as native unsigned 32-bit integers."""
-        found = self.chunks.encode(text)
-        return array("I", self.general(text)).tobytes() if found is None else found
+        found = self.memo.encode(text)
+        return self.memo.join(self.split.findall(text)) if found is None else found
 
     def whole(self, text: str) -> bytes:
         """Ids of a whole text, as native unsigned 32-bit integers."""
@@ -289,79 +277,36 @@ class Transducer:
 LETTERS, NUMBERS, BLANKS, OTHERS = (regex.compile(x) for x in (r"\p{L}*", r"\p{N}*", r"\s*", r"[^\s\p{L}\p{N}]*"))
 
 
-class NotSimple(Exception):
-    """A text that cannot be cut at its single blanks and line ends."""
-
+#: The split pattern spelt out for texts below U+0250, where its classes are these; the standard library's matcher is fast.
+_L, _N, _S = r"A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r"0-9\u00b2\u00b3\u00b9\u00bc-\u00be", r"\t-\r \u0085\u00a0"
+LATIN = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+NOT_LATIN = re.compile("[\u0250-\U0010ffff]")
 
-class Chunks(dict):
-    """Memo of blank-separated chunks, as bytes of 32-bit ids.
 
-    A single blank or line end between signs that are not white space always starts a pre-token, so such chunks can be
-    encoded on their own by ``encode_piece``; any other white space sends the text the general way (None).
-    """
+class Memo(dict):
+    """Pre-tokens to bytes of 32-bit ids: a young and an old generation of bounded size before ``encode_piece``."""
 
-    def __init__(self, encode_piece: Callable[[str], list[int]], newline: int):
-        self.encode_piece, self.newline = encode_piece, array("I", [newline]).tobytes()
-        self.ends: dict[str, bytes] = {}
+    def __init__(self, encode_piece: Callable[[str], list[int]]):
+        self.encode_piece = encode_piece
         self.old: dict[str, bytes] = {}
-        self.heads = Heads(self)
-
-    def make(self, own: dict, s: str, lead: str) -> bytes:
-        if not s or s[0].isspace() or s[-1].isspace():
-            raise NotSimple
-        core = s.rstrip(ENDS)
-        if len(core) < len(s) and core and core[-1] <= "\u00ff" and core[-1].isalpha():
-            tail = s[len(core) :]
-            end = self.ends.get(tail)
-            if end is None:
-                end = array("I", self.encode_piece(tail)).tobytes()
-                if len(tail) <= 4:
-                    self.ends[tail] = end
-            return own[core] + end
-        return array("I", self.encode_piece(lead + s)).tobytes()
 
     def __missing__(self, s: str) -> bytes:
-        return remember(self, s, " ", self)
+        ids = self.old.get(s)
+        if ids is None:
+            ids = array("I", self.encode_piece(s)).tobytes()
+        if len(s) <= MEMO_CHARS:
+            if len(self) >= MEMO_ENTRIES:
+                self.old = dict(self)
+                self.clear()
+            self[s] = ids
+        return ids
 
     def encode(self, text: str) -> bytes | None:
-        if not text:
-            return b""
-        out: list[bytes] = []
-        get, head, newline = self.__getitem__, self.heads.__getitem__, self.newline
-        try:
-            for line in text.split("\n"):
-                parts = line.split(" ")
-                out.append(head(parts[0]))
-                out.extend(map(get, parts[1:]))
-                out.append(newline)
-        except NotSimple:
-            return None
-        out.pop()
-        return b"".join(out)
-
-
-class Heads(dict):
-    """The chunks at the start of a line, which have no blank before them."""
-
-    def __init__(self, chunks: Chunks):
-        self.chunks = chunks
-        self.old: dict[str, bytes] = {}
+        """Ids of a text of Latin signs; None for other texts."""
+        return None if NOT_LATIN.search(text) else self.join(LATIN.findall(text))
 
-    def __missing__(self, s: str) -> bytes:
-        return remember(self, s, "", self.chunks)
-
-
-def remember(own: Chunks | Heads, s: str, lead: str, chunks: Chunks) -> bytes:
-    """The ids of a chunk that the young generation lacks: from the old one, or made."""
-    ids = own.old.get(s)
-    if ids is None:
-        ids = chunks.make(own, s, lead)
-    if len(s) <= MEMO_CHARS:
-        if len(own) >= MEMO_ENTRIES:
-            own.old = dict(own)
-            own.clear()
-        own[s] = ids
-    return ids
+    def join(self, parts: list[str]) -> bytes:
+        return b"".join(map(self.__getitem__, parts))
 
 
 class Detokenizer:

@@ -81,3 +81,16 @@ def map_rows(df: DataFrame, schema: str, row: Callable[[], Callable[[Iterable[tu
 def pack(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
     return pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def bounded_sample(df: DataFrame, keys: list[str], limit: int) -> list:
+    """About ``limit`` rows, chosen by a hash of the keys (all rows where there are fewer); at most twice as many.
+
+    The rows are counted first and the hash is compared with a bound, so no task sends more than its own share.
+    """
+    from pyspark.sql import functions as F
+
+    n = df.count()
+    if n > limit:
+        df = df.where(F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) < int(limit / n * (1 << 30)))
+    return sorted(df.limit(2 * limit).collect(), key=str)

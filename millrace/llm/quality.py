@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, small_batches, table
+from .common import bounded_sample, map_rows, small_batches, table
 
 TRAIN_DOCS = 2000
 TRAIN_LINES = 60
@@ -172,8 +172,8 @@ def base_counts(text: str) -> tuple[int, int, int, int, int, list]:
 
 
 def training_sample(documents: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> tuple[list[str], list[int]]:
-    """At most ``limit`` labelled documents, the first by a hash of the id; the rows are joined before the cut."""
-    chosen = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).collect()
+    """About ``limit`` labelled documents, by a hash of the id."""
+    chosen = bounded_sample(labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", "quality"), ["doc_id"], limit)
     by_id = {r.doc_id: int(r.quality) for r in chosen}
     rows = documents.where(F.col("doc_id").isin(list(by_id)) & F.col("text").isNotNull()).select("doc_id", "text").limit(2 * limit).collect() if by_id else []
     rows = sorted(rows, key=lambda r: (r.doc_id, r.text))

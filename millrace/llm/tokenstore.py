@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import Chunks, default_path
+from .bpe import Memo, byte_signs, default_path
 from .common import fresh_path, map_rows, small_batches, table
 
 MAGIC = b"IDS1"
@@ -177,7 +177,7 @@ class Shard:
 
 
 class LibraryEncoder:
-    """Whole texts to ids by the tokenizers library, with a bounded memo of blank-separated chunks before it."""
+    """Whole texts to ids by the tokenizers library, with a bounded memo of pre-tokens before it."""
 
     def __init__(self, path: str):
         import os
@@ -189,19 +189,23 @@ class LibraryEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
+        self.signs = {b: c for c, b in byte_signs().items()}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.wide = self.tokenizer.get_vocab_size() > 65536
-        self.chunks = Chunks(self.piece, self.piece("\n")[0])
+        self.memo = Memo(self.piece)
 
     def piece(self, text: str) -> list[int]:
-        """A piece's ids. A blank and ASCII letters are one pre-token, which the library's model takes as it is."""
-        if text[:1] == " " and text.isascii() and text[1:].isalpha():
-            return [t.id for t in self.model.tokenize("\u0120" + text[1:])]
+        """A piece's ids. A blank and Latin letters are one pre-token, which goes to the library's model in its byte signs."""
+        word = text[1:]
+        if text[:1] == " " and word.isalpha() and max(word) < "\u0250":
+            if not word.isascii():
+                word = word.encode().decode("latin-1").translate(self.signs)
+            return [t.id for t in self.model.tokenize("\u0120" + word)]
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def encode(self, text: str) -> bytes:
         if not any(s in text for s in self.special):
-            found = self.chunks.encode(text)
+            found = self.memo.encode(text)
             if found is not None:
                 return found
         return array("I", self.piece(text)).tobytes()
