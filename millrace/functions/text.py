@@ -181,3 +181,9 @@ def split_sentences(text: Column, limit: int) -> Column:
     pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.length(body), F.lit(1)), F.lit(limit)), lambda i: normalize_whitespace_ends(F.substring(body, i, F.lit(limit))))
     hard = F.filter(pieces, lambda x: x != "")
     return F.when(body == "", F.array().cast("array<string>")).when(F.length(body) <= limit, F.array(body)).otherwise(out.otherwise(hard))
+
+
+def hard_cut(text: Column, limit: int) -> Column:
+    """Pieces of ``limit`` signs; none for the empty text."""
+    pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(limit)), lambda i: F.substring(text, i, F.lit(limit)))
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(pieces)

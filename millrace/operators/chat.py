@@ -43,6 +43,22 @@ def promoted_titles(messages: DataFrame, default: str = "New Conversation") -> D
     return messages.groupBy("conv_id").agg(F.coalesce(F.substring(first, 1, 160), F.lit(default)).alias("title"))
 
 
+def message_verdict(role: Column, text: Column, limit: int = 8000) -> Column:
+    """ok, or why a message is refused."""
+    body = normalize_whitespace_ends(F.coalesce(text, F.lit("")))
+    return F.when(~F.coalesce(role, F.lit("")).isin("user", "assistant"), "bad_role").when(body == "", "empty").when(F.length(body) > limit, "too_long").otherwise("ok")
+
+
+def is_live(created: Column, now: Column, days: int = 7) -> Column:
+    """Whether a session of that length has not ended yet."""
+    return created + F.make_dt_interval(F.lit(days)) > now
+
+
+def owned(rows: DataFrame, owners: DataFrame, key: str) -> DataFrame:
+    """The rows whose key an owner has."""
+    return rows.join(owners, key, "left_semi")
+
+
 def context(chunks: Column) -> Column:
     """Numbered sources of an array of (url, content)."""
     return F.array_join(F.transform(chunks, lambda x, i: F.concat(F.lit("[Source "), (i + 1).cast("string"), F.lit("] ("), x["url"], F.lit("):\n"), x["content"])), "\n\n---\n\n")

@@ -14,7 +14,7 @@ from ..functions.text import clean_strings, normalize_whitespace_ends
 from .models import with_deadline, with_retries
 
 VERSION = "meta-v1"
-INPUT_VERSION = "embedding-input-v1"
+INPUT_VERSION = "embed-v1"
 PREVIEW = 240
 OUTPUT = "struct<summary:string,keywords:array<string>,hypothetical_questions:array<string>,entities:array<string>,topics:array<string>,table_summary:string,code_summary:string,api_symbols:array<string>>"
 
@@ -83,6 +83,16 @@ def embedding_input(title: Column, path: Column, kind: Column, content: Column,
     return F.when(enrichment.isNull(), content).otherwise(lines)
 
 
+def preview(text: Column) -> Column:
+    """What is kept of an embedding input beside its chunk."""
+    return F.substring(text, 1, PREVIEW)
+
+
+def content_hash(kind: Column, text: Column) -> Column:
+    """Digest of one element's kind and text."""
+    return F.md5(F.concat(kind, F.lit(":"), text))
+
+
 def processing_hash(content_hash: Column, config: Enrichment = Enrichment()) -> Column:
     """Digest of what makes a page's chunks; the fields' order counts."""
     kinds = [k for k in ("prose", "table", "code") if config.enabled and k in config.kinds]

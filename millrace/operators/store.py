@@ -77,9 +77,9 @@ def append_message(conversations: DataFrame, messages: DataFrame) -> DataFrame:
     return joined.withColumn("title", F.when(untitled, F.substring("__first", 1, 160)).otherwise(F.col("title"))).withColumn("updated_at", F.greatest("updated_at", "__last")).drop("__last", "__first")
 
 
-def batches(rows: DataFrame, size: int, order: str, by: str) -> DataFrame:
-    """Adds batch: groups of ``size`` rows in order, within each ``by``."""
-    return rows.withColumn("batch", ((F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1) / size).cast("int"))
+def batches(rows: DataFrame, size: int, order: str, by: list[str]) -> DataFrame:
+    """Adds batch: groups of ``size`` rows in order, within each of the keys ``by``."""
+    return rows.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1) / size).cast("int"))
 
 
 def commit(rows: DataFrame, path: str) -> None:

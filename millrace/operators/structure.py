@@ -325,23 +325,33 @@ def sections(title: str, headings: list[str], text: str, size: int = 3500, overl
 
 
 def windows(text: str, size: int = 3500, overlap: int = 500) -> list[str]:
-    """Windows of ``size`` signs that step back to the last line or sentence end past their middle."""
+    """Windows of ``size`` signs that end at the last line or sentence end past their middle; each starts ``overlap`` before the last one's end."""
     out, start = [], 0
     while start < len(text):
         end = min(start + size, len(text))
         if end < len(text):
-            for mark in ("\n", ". "):
-                at = text.rfind(mark, start, end)
-                if at > start + size // 2:
-                    end = at + len(mark)
-                    break
-        if part := text[start:end].strip():
-            out.append(part)
-        if end >= len(text):
+            at_line, at_stop = text.rfind("\n", start, end + 1), text.rfind(". ", start, end + 2)
+            if at_line > start + size / 2:
+                end = at_line
+            elif at_stop > start + size / 2:
+                end = at_stop + 1
+        out.append(text[start:end].strip())
+        if end >= len(text) or overlap >= end - start:
             break
-        start = max(end - overlap, start + 1)
+        start = end - overlap
     return out
 
 
+def window_chunks(docs: DataFrame, size: int = 3500, overlap: int = 500, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, place and content of the overlapping windows of plain texts."""
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(k, i, w) for k, t in zip(frame[key], frame[text], strict=True) for i, w in enumerate(windows(t or "", size, overlap))]
+            yield pd.DataFrame(rows, columns=[key, "place", "content"])
+
+    return docs.select(key, text).mapInPandas(run, f"{key} {docs.schema[key].dataType.simpleString()}, place int, content string")
+
+
 def to_json(rows: list[dict]) -> str:
     return json.dumps(rows, ensure_ascii=False)

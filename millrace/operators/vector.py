@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +36,11 @@ def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, threshold: float
     Queries are taken in blocks of ``MAX_QUERY_BLOCK``. In each task a block meets each Arrow batch as one matrix
     product, and only the batch's k best rows of each query leave Python, so what is shuffled is batches x queries x k.
     """
-    rows = queries.select("query_id", "embedding").where("embedding IS NOT NULL").orderBy("query_id").collect()
+    rows = queries.select("query_id", "embedding").where("embedding IS NOT NULL").toLocalIterator()
     out: DataFrame | None = None
     kind = {f.name: f.dataType.simpleString() for f in vectors.select(key).schema} | {f.name: f.dataType.simpleString() for f in queries.schema}
     schema = f"query_id {kind['query_id']}, {key} {kind[key]}, similarity double"
-    for at in range(0, max(1, len(rows)), MAX_QUERY_BLOCK):
-        block = rows[at : at + MAX_QUERY_BLOCK]
+    while (block := list(islice(rows, MAX_QUERY_BLOCK))) or out is None:
         ids = [r.query_id for r in block]
         matrix = np.array([r.embedding for r in block], dtype=np.float64) if block else np.zeros((0, 1))
         shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)))

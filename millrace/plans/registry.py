@@ -22,5 +22,13 @@ class Registry:
         return add
 
 
+#: White space of web scripts, as the SQL side writes it.
+BLANK_SQL = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+
+
+def trim_sql(value: str) -> str:
+    return f"regexp_replace({value}, '^{BLANK_SQL}+|{BLANK_SQL}+$', '', 'g')"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -26,7 +26,7 @@ vec AS (
   QUALIFY rank <= 12)
 """
 _WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
-_GRAMS = "list_distinct(flatten(list_transform(list_distinct({w}), w -> list_transform(range(1, CAST(length(w) + 2 AS BIGINT)), i -> substring('  ' || w || ' ', CAST(i AS BIGINT), 3)))))"
+_GRAMS = "list_distinct(flatten(list_transform(list_distinct({w}), lambda w: list_transform(range(1, CAST(length(w) + 2 AS BIGINT)), lambda i: substring('  ' || w || ' ', CAST(i AS BIGINT), 3)))))"
 _DOC_GRAMS = _GRAMS.format(w=_WORDS)
 
 
@@ -54,7 +54,7 @@ def vector_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT query_id, vec_id, similarity, rank FROM (
+    f"""SELECT query_id, vec_id, similarity, CAST(rank AS INT) AS rank FROM (
   SELECT q.vec_id AS query_id, e.vec_id, {_SIM} AS similarity, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_SIM} DESC, e.vec_id) AS rank
   FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0 AND {_SIM} > 0.1) WHERE rank <= 5"""
 )
@@ -75,7 +75,7 @@ def _branches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {_BRANCH_SQL}
-SELECT chunk_id, round(score, 9) AS score, n_matched, best_similarity, best_source, position FROM (
+SELECT chunk_id, round(score, 9) AS score, n_matched, best_similarity, best_source, CAST(position AS INT) AS position FROM (
   SELECT *, row_number() OVER (ORDER BY score DESC, n_matched DESC, n_original DESC, best_similarity DESC, best_source, chunk_id) AS position FROM (
     SELECT chunk_id, coalesce(max(1.0::DOUBLE / (60 + rank)) FILTER (source = 'vector_original'), 0) + coalesce(max(0.75::DOUBLE / (60 + rank)) FILTER (source = 'vector_rewritten'), 0) AS score,
            CAST(count(*) AS INT) AS n_matched, count(*) FILTER (source = 'vector_original') AS n_original, max(similarity) AS best_similarity, arg_max(source, (similarity, -(CASE source WHEN 'vector_original' THEN 0 ELSE 2 END))) AS best_source
@@ -88,7 +88,7 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {_BRANCH_SQL}
-SELECT chunk_id, similarity, matched, position FROM (
+SELECT chunk_id, similarity, matched, CAST(position AS INT) AS position FROM (
   SELECT *, row_number() OVER (ORDER BY similarity DESC, CASE matched WHEN 'both' THEN 0 WHEN 'original' THEN 1 ELSE 2 END, seen) AS position FROM (
     SELECT chunk_id, max(similarity) AS similarity, CASE WHEN count(*) = 2 THEN 'both' ELSE substring(min(source), 8) END AS matched, min(CASE source WHEN 'vector_original' THEN rank ELSE rank + 1000000 END) AS seen
     FROM vec GROUP BY chunk_id)) WHERE position <= 8"""
@@ -113,8 +113,8 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TRIGRAM_SQL = f"""
 grams AS (SELECT doc_id, {_DOC_GRAMS} AS g FROM documents),
 own AS (SELECT {_DOC_GRAMS} AS g FROM benchmark WHERE item_id = 0),
-scored AS (SELECT doc_id AS chunk_id, len(list_intersect(grams.g, own.g)) AS both, len(grams.g) AS n, len(own.g) AS m FROM grams, own),
-lex AS (SELECT chunk_id, round(both / (n + m - both), 6) AS trigram FROM scored WHERE both > 0)
+scored AS (SELECT doc_id AS chunk_id, len(list_intersect(grams.g, own.g)) AS common, len(grams.g) AS n, len(own.g) AS m FROM grams, own),
+lex AS (SELECT chunk_id, round(common / (n + m - common), 6) AS trigram FROM scored WHERE common > 0)
 """
 
 
@@ -130,15 +130,16 @@ def lexical_score_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(chunks, lexical.trigram_postings(chunks), _passage(spark, sf_dir, 0), 15, fts=False)
 
 
+#: A query of words that need no stemming.
+PLAIN_QUERY = ("the", "and", "with")
+
+
 @query(
-    rf"""WITH term AS (SELECT DISTINCT unnest({_WORDS}) AS w FROM benchmark WHERE item_id = 1), few AS (SELECT w FROM term ORDER BY w LIMIT 3),
-hit AS (SELECT doc_id, w FROM (SELECT doc_id, unnest({_WORDS}) AS w FROM documents) WHERE w IN (SELECT w FROM few))
-SELECT doc_id AS chunk_id, count(*) AS n_hits FROM hit GROUP BY doc_id HAVING count(DISTINCT w) = 3"""
+    rf"""WITH hit AS (SELECT doc_id, w FROM (SELECT doc_id, unnest({_WORDS}) AS w FROM documents) WHERE w IN {PLAIN_QUERY})
+SELECT doc_id AS chunk_id, count(*) AS n_hits FROM hit GROUP BY doc_id HAVING count(DISTINCT w) = {len(PLAIN_QUERY)}"""
 )
 def fts_match_unstemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "benchmark").where("item_id = 1").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))).alias("w")).distinct()
-    terms = [r.w for r in words.orderBy("w").limit(3).collect()]
-    return lexical.fts_match(lexical.fts_postings(_chunks(spark, sf_dir)), terms)
+    return lexical.fts_match(lexical.fts_postings(_chunks(spark, sf_dir)), list(PLAIN_QUERY))
 
 
 @query()
@@ -157,7 +158,7 @@ def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {_BRANCH_SQL}, {_TRIGRAM_SQL}, lexr AS (
   SELECT 'lexical_original' AS source, chunk_id, round(0.3 * trigram, 6) AS similarity, row_number() OVER (ORDER BY round(0.3 * trigram, 6) DESC, chunk_id) AS rank FROM lex WHERE trigram > 0.18 QUALIFY rank <= 12),
 rows AS (SELECT source, chunk_id, similarity, rank FROM vec UNION ALL SELECT source, chunk_id, similarity, rank FROM lexr)
-SELECT chunk_id, round(score, 9) AS score, matched, best_source, position FROM (
+SELECT chunk_id, round(score, 9) AS score, matched, best_source, CAST(position AS INT) AS position FROM (
   SELECT *, row_number() OVER (ORDER BY score DESC, n DESC, n_original DESC, best_similarity DESC, CASE best_source WHEN 'vector_original' THEN 0 WHEN 'lexical_original' THEN 1 ELSE 2 END, chunk_id) AS position FROM (
     SELECT chunk_id, coalesce(max(1.0::DOUBLE / (60 + rank)) FILTER (source = 'vector_original'), 0) + coalesce(max(1.0::DOUBLE / (60 + rank)) FILTER (source = 'lexical_original'), 0) + coalesce(max(0.75::DOUBLE / (60 + rank)) FILTER (source = 'vector_rewritten'), 0) AS score,
            count(*) AS n, count(*) FILTER (source IN ('vector_original', 'lexical_original')) AS n_original, max(similarity) AS best_similarity,
@@ -190,12 +191,15 @@ def rerank_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def rerank_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [r.asDict() for r in _chunks(spark, sf_dir).orderBy("chunk_id").limit(12).collect()]
+    """Each outcome of the contract over the candidates that lexical search finds for a passage."""
+    chunks, passage = _chunks(spark, sf_dir), _passage(spark, sf_dir, 0)
+    found = lexical.search(chunks, lexical.trigram_postings(chunks), passage, 12, fts=False)
+    rows = [r.asDict() for r in chunks.join(F.broadcast(found), "chunk_id").orderBy(F.desc("similarity"), "chunk_id").collect()]
     replies = {"applied": rank_by_overlap, "model_failed": lambda q, c: 1 / 0, "invalid": lambda q, c: '{"rankedIds": [1, 1]}', "no_json": lambda q, c: "sorry"}
     out = []
     for name, model in replies.items():
         for on in (True, False):
-            done = rerank.rerank(_passage(spark, sf_dir, 0), rows, Retrieval(rerank=on), model)
+            done = rerank.rerank(passage, rows, Retrieval(rerank=on), model)
             out.append((name, on, done.status, done.fallback_reason, [c["chunk_id"] for c in done.candidates]))
     return spark.createDataFrame(out, "reply string, enabled boolean, status string, fallback_reason string, after_ids array<long>")
 
@@ -206,10 +210,10 @@ _GATE_INPUT = """(SELECT 'b' || item_id AS id, text AS q FROM benchmark UNION AL
 
 
 @query(
-    rf"""WITH raw AS {_GATE_INPUT}, norm AS (SELECT id, trim(regexp_replace(q, '\s+', ' ', 'g')) AS q FROM raw), t AS (SELECT id, q, list_filter(string_split(q, ' '), x -> x <> '') AS w, regexp_matches(lower(q), '^(how|what|why|when|where) ') AS natural FROM norm),
-u AS (SELECT *, NOT natural AND NOT contains(q, '?') AND len(w) BETWEEN 2 AND 5 AND len(list_filter(w, x -> NOT regexp_matches(x, '^[A-Za-z0-9._:/=-]+$'))) = 0
-   AND (lower(w[1]) IN ('vite', 'npm', 'pnpm', 'yarn', 'bun', 'npx', 'node') OR len(list_filter(w, x -> lower(x) IN ('build', 'preview', 'dev', 'serve', 'start', 'run', 'test', 'install', 'create', 'add', 'remove'))) > 0) AS command FROM t),
-v AS (SELECT *, NOT natural AND (regexp_matches(q, '[_./():{{}}-]') OR regexp_matches(q, '[a-z][A-Z]') OR command) AS ident FROM u)
+    rf"""WITH raw AS {_GATE_INPUT}, norm AS (SELECT id, trim(regexp_replace(q, '\s+', ' ', 'g')) AS q FROM raw), t AS (SELECT id, q, list_filter(string_split(q, ' '), lambda x: x <> '') AS w, regexp_matches(lower(q), '^(how|what|why|when|where) ') AS asks FROM norm),
+u AS (SELECT *, NOT asks AND NOT contains(q, '?') AND len(w) BETWEEN 2 AND 5 AND len(list_filter(w, lambda x: NOT regexp_matches(x, '^[A-Za-z0-9._:/=-]+$'))) = 0
+   AND (lower(w[1]) IN ('vite', 'npm', 'pnpm', 'yarn', 'bun', 'npx', 'node') OR len(list_filter(w, lambda x: lower(x) IN ('build', 'preview', 'dev', 'serve', 'start', 'run', 'test', 'install', 'create', 'add', 'remove'))) > 0) AS command FROM t),
+v AS (SELECT *, NOT asks AND (regexp_matches(q, '[_./():{{}}-]') OR regexp_matches(q, '[a-z][A-Z]') OR command) AS ident FROM u)
 SELECT id, CAST(len(w) AS INT) AS n_words, CASE WHEN len(q) > 1 AND q[1] IN ('"', '''', '`') AND strpos(substring(q, 2), q[1]) > 1 THEN 'quoted_query' WHEN len(w) < 2 AND NOT ident THEN 'query_too_short' WHEN len(w) > 30 THEN 'query_too_long'
   WHEN ident THEN 'identifier_like' WHEN regexp_matches(q, '(?i)^(what about|how does that|how does it)\b') THEN 'context_dependent' ELSE 'eligible' END AS reason FROM v"""
 )

@@ -32,8 +32,12 @@ def crawl_order(rows: DataFrame, product: str, limit: int, order: str = "page_id
     return found.orderBy("rank", order).limit(limit)
 
 
-def to_json(rows: DataFrame, debug: list[str] | None = None) -> DataFrame:
-    """One JSON text for each result: the public fields, and a debug struct where asked for."""
-    public = [c for c in ("content", "url", "title", "anchor", "similarity") if c in rows.columns]
+def json_column(columns: list[str], debug: list[str] | None = None) -> Column:
+    """One JSON text for each result: the public fields that there are, and a debug struct where asked for."""
+    public = [c for c in ("content", "url", "title", "anchor", "similarity") if c in columns]
     extra = [F.struct(*debug).alias("debug")] if debug else []
-    return rows.select(F.to_json(F.struct(*public, *extra)).alias("json"))
+    return F.to_json(F.struct(*public, *extra))
+
+
+def to_json(rows: DataFrame, debug: list[str] | None = None) -> DataFrame:
+    return rows.select(json_column(rows.columns, debug).alias("json"))
