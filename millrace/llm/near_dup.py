@@ -81,9 +81,9 @@ def kmers(words: list[str], memo: WordHash) -> np.ndarray:
 
 
 def bands(key: np.ndarray) -> list[int]:
-    """The band hashes of a text's labelled k-mers."""
+    """The band hashes of a text's labelled k-mers; texts without words share one band."""
     if not len(key):
-        return []
+        return [0]
     take = min(L, len(key))
     best_hash = best_at = None
     for a in range(0, len(key), 1 << 15):
