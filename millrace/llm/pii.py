@@ -98,7 +98,7 @@ def _context_counts(docs: DataFrame, contexts: DataFrame) -> DataFrame:
     """c, n: how often each induced context stands before any word, over all texts. At most 4 / MIN_SHARE contexts are broadcast."""
     line = F.explode(F.split(F.lower("text"), "\n")).alias("line")
     words = docs.where("text IS NOT NULL").select(line).where("line <> ''").select(F.split(F.concat(F.lit("^ "), F.col("line")), " +").alias("w"))
-    seen = words.select(F.explode(F.expr("transform(sequence(1, greatest(size(w) - 2, 1)), i -> xxhash64(slice(w, i, 2)))")).alias("c"))
+    seen = words.where("size(w) > 2").select(F.explode(F.expr("zip_with(slice(w, 1, size(w) - 2), slice(w, 2, size(w) - 2), (a, b) -> xxhash64(array(a, b)))")).alias("c"))
     return seen.join(F.broadcast(contexts), "c").groupBy("c").agg(F.count("*").alias("n"))
 
 
