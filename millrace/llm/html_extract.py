@@ -44,18 +44,20 @@ WORDS = set(
     "nav navbar navigation menu menus breadcrumb breadcrumbs header masthead topbar footer bottombar sidebar aside widget widgets ad ads adv advert adverts advertisement advertising adsense banner promo promotion promotions"
     " sponsor sponsored sponsors cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login form comment comments commentlist disqus replies respond discussion share sharing social related recommended recommendations pagination pager skip toolbar".split()
 )
+COMMENTS = {"comment", "comments", "commentlist", "disqus"}
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 LIMITS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 NO_P = BLOCK - {"body", "html", "head", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "li", "dt", "dd", "option", "optgroup", "legend", "summary", "figcaption"} | {"p"}
 
 
 class Page:
-    """Blocks of a page: (container's number, text, signs inside links), and the containers' paths and parents."""
+    """Blocks of a page: (container's number, text, signs inside links), the containers' paths and parents, and the blocks that are titles."""
 
     def __init__(self, source: str):
         self.paths: list[str] = [""]
         self.parents: list[int] = [-1]
         self.blocks: list[tuple[int, str, int]] = []
+        self.titles: list[int] = []
         self._parse(source)
 
     def _parse(self, source: str) -> None:
@@ -70,6 +72,8 @@ class Page:
             if buffer:
                 text = " ".join(entities.unescape("".join(buffer)).split())
                 if text:
+                    if any(s[0] == "h1" for s in stack):
+                        self.titles.append(len(blocks))
                     blocks.append((container, text, linked))
                 buffer.clear()
             linked = 0
@@ -166,7 +170,7 @@ class Page:
             name, value = name.lower(), a or b or c
             if name in ("class", "id"):
                 words = [w.lower() for w in LETTERS.findall(entities.unescape(value))]
-                if tag not in SAFE and not WORDS.isdisjoint(words):
+                if not (COMMENTS if tag in SAFE else WORDS).isdisjoint(words) and tag not in ("html", "body"):
                     return None
                 if name == "class" and words:
                     label += "." + "-".join(words)
@@ -177,7 +181,10 @@ class Page:
         return label
 
     def main_path(self) -> str:
-        """The path that this page votes for: from the root down, as long as one path below holds most of the text."""
+        """The path that this page votes for: from the root down, as long as one path below holds most of the text and the title.
+
+        An article is not left for a part of it.
+        """
         weight = [0] * len(self.paths)
         for container, text, linked in self.blocks:
             weight[container] += max(0, len(text) - 2 * linked)
@@ -189,13 +196,22 @@ class Page:
             by_path[self.paths[k]] = by_path.get(self.paths[k], 0) + weight[k]
             below.setdefault(self.paths[self.parents[k]], set()).add(self.paths[k])
         here, total = "", weight[0]
-        while (under := below.get(here)) and total:
+        titles = [self._chain(self.blocks[i][0]) for i in self.titles]
+        while (under := below.get(here)) and total and not re.search(r"/article[^/]*$", here):
             best = max(under, key=lambda p: (by_path[p], p))
-            if by_path[best] < DESCEND * total:
+            if by_path[best] < DESCEND * total or any(here in t and best not in t for t in titles):
                 break
             here, total = best, by_path[best]
         return here
 
+    def _chain(self, container: int) -> set[str]:
+        """The paths that a container lies in."""
+        out = set()
+        while container >= 0:
+            out.add(self.paths[container])
+            container = self.parents[container]
+        return out
+
     def text(self, path: str | None) -> str:
         """The blocks inside the elements at the path, in page order."""
         inside = [path == ""] * len(self.paths)
