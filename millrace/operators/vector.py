@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: A query block is a matrix that every task holds; its rows are counted before it is broadcast.
 MAX_QUERY_BLOCK = 4096
@@ -40,6 +41,7 @@ def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, threshold: float
     out: DataFrame | None = None
     kind = {f.name: f.dataType.simpleString() for f in vectors.select(key).schema} | {f.name: f.dataType.simpleString() for f in queries.schema}
     schema = f"query_id {kind['query_id']}, {key} {kind[key]}, similarity double"
+    types = [to_arrow_type(f.dataType) for f in (queries.schema["query_id"], vectors.schema[key])]
     while (block := list(islice(rows, MAX_QUERY_BLOCK))) or out is None:
         ids = [r.query_id for r in block]
         matrix = np.array([r.embedding for r in block], dtype=np.float64) if block else np.zeros((0, 1))
@@ -62,7 +64,7 @@ def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, threshold: float
                     q += [name] * len(hit)
                     c.append(keys[hit])
                     s.append(sims[i][hit])
-                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(np.concatenate(c)), pa.array(np.concatenate(s), pa.float64())], names=["query_id", key, "similarity"])
+                yield pa.RecordBatch.from_arrays([pa.array(q, types[0]), pa.array(np.concatenate(c)).cast(types[1]), pa.array(np.concatenate(s), pa.float64())], names=["query_id", key, "similarity"])
 
         part = vectors.select(key, column).mapInArrow(score, schema)
         out = part if out is None else out.unionByName(part)

@@ -10,7 +10,7 @@ def table(spark: SparkSession, path: str, header: list[str]) -> DataFrame:
     """The rows below the header line up to the first line without bars; a row of another width is an error."""
     text = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
     line = F.trim("line")
-    cells = F.transform(F.split(F.regexp_replace(line, r"^\||\|$", ""), r"\|"), F.trim)
+    cells = F.transform(F.split(F.regexp_replace(line, r"^\||\|$", ""), r"\|"), lambda x: F.trim(x))
     rows = text.select("n", line.startswith("|").alias("barred"), cells.alias("cells"))
     start = rows.where(F.col("barred") & (F.col("cells") == F.array(*map(F.lit, header)))).agg(F.min("n").alias("n")).first().n
     if start is None:

@@ -14,12 +14,12 @@ def pages(spark: SparkSession, path: str) -> DataFrame:
 
 def in_product(url: Column, product: str) -> Column:
     """Whether a part of the address's path is the product, in any case."""
-    return F.coalesce(F.array_contains(F.transform(url_path_segments(url), F.lower), product.lower()), F.lit(False))
+    return F.coalesce(F.array_contains(F.transform(url_path_segments(url), lambda x: F.lower(x)), product.lower()), F.lit(False))
 
 
 def crawl_rank(url: Column, product: str) -> Column:
     """Ten for each path part after the product, one more where the first of them starts with ``api-``."""
-    parts = F.transform(url_path_segments(url), F.lower)
+    parts = F.transform(url_path_segments(url), lambda x: F.lower(x))
     at = F.array_position(parts, product.lower()).cast("int")
     tail = F.size(parts) - at
     first = F.try_element_at(parts, at + 1)

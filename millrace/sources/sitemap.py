@@ -12,7 +12,7 @@ def locations(files: DataFrame) -> DataFrame:
     """path, is_index and locs of sitemap files (path, content)."""
     xml = F.regexp_replace("content", r"^\s*<\?xml[^>]*\?>|<!DOCTYPE[^>]*>", "")
     rows = files.select("path", F.xpath(xml, F.lit(_LOCS.format("sitemap"))).alias("maps"), F.xpath(xml, F.lit(_LOCS.format("url"))).alias("pages"), F.col("content").rlike(r"<(?:\w+:)?sitemapindex[\s>]").alias("is_index"))
-    return rows.select("path", "is_index", F.transform(F.when(F.col("is_index"), F.col("maps")).otherwise(F.col("pages")), F.trim).alias("locs"))
+    return rows.select("path", "is_index", F.transform(F.when(F.col("is_index"), F.col("maps")).otherwise(F.col("pages")), lambda x: F.trim(x)).alias("locs"))
 
 
 def scan(files: DataFrame, start: str, depth: int = 10) -> DataFrame:
