@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from concurrent.futures import TimeoutError as Late
@@ -46,6 +47,42 @@ def embed_text(text: str, dimensions: int = DIMENSIONS) -> list[float]:
     return (out / size if size else out).tolist()
 
 
+class Busy(Exception):
+    """The service asks to wait; ``seconds`` is its delay."""
+
+    def __init__(self, seconds: float = 0.0):
+        super().__init__(f"wait {seconds} s")
+        self.seconds = seconds
+
+
+def embed_many(texts: list[str], batch: Callable[[list[str]], list[list[float]]], one: Callable[[str], list[float]], size: int = 50, retries: int = 2, sleep: Callable[[float], None] = time.sleep) -> list[list[float]]:
+    """Vectors of the texts in calls of ``size``; a busy service is asked again after its delay and a second, and a batch that fails otherwise is taken text by text."""
+
+    def patient(call: Callable[[], list]) -> list:
+        for left in range(retries, -1, -1):
+            try:
+                return call()
+            except Busy as e:
+                if not left:
+                    raise
+                sleep(e.seconds + 1)
+        raise AssertionError
+
+    out: list[list[float]] = []
+    for at in range(0, len(texts), size):
+        own = texts[at : at + size]
+        try:
+            found = patient(lambda own=own: batch(own))
+            if len(found) != len(own):
+                raise ValueError("a vector for each text is wanted")
+        except Busy:
+            raise
+        except Exception:
+            found = [patient(lambda t=t: one(t)) for t in own]
+        out += found
+    return out
+
+
 def embed(text: Column, model: Callable[[str], list[float]] = embed_text) -> Column:
     @F.pandas_udf("array<float>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -68,4 +105,4 @@ def rank_by_overlap(query: str, candidates: list[dict]) -> str:
     return json.dumps({"rankedIds": [candidates[i]["chunk_id"] for i in order], "diagnostics": []})
 
 
-__all__ = ["Late", "embed", "embed_text", "rank_by_overlap", "rewrite_words", "with_deadline", "with_retries"]
+__all__ = ["Busy", "Late", "embed", "embed_many", "embed_text", "rank_by_overlap", "rewrite_words", "with_deadline", "with_retries"]

@@ -7,7 +7,6 @@ block starts, list items and table parts that close each other, raw script and s
 from __future__ import annotations
 
 import hashlib
-import json
 import re
 from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
@@ -311,6 +310,25 @@ def documents(pages: DataFrame) -> DataFrame:
     return _per_page(pages, "n_elements int", lambda title, found: [{"n_elements": len(found)}])
 
 
+def plain_pages(pages: DataFrame) -> DataFrame:
+    """page_id, url, title, headings, content and content_hash of every page: the main part's text without its structure."""
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for page_id, url, source in zip(frame["page_id"], frame["url"], frame["html"], strict=True):
+                root = build(source or "")
+                _prune(root)
+                main = _main(root)
+                text = squash(main.text()) if main else ""
+                headings = [t for n in main.nodes() if n.tag in HEADINGS and (t := squash(n.text()))] if main else []
+                title = next((t for n in root.nodes() if n.tag == "title" and (t := squash(n.text()))), "Untitled Document")
+                out.append((page_id, url, title, headings, text, hashlib.md5(text.encode()).hexdigest()))
+            yield pd.DataFrame(out, columns=["page_id", "url", "title", "headings", "content", "content_hash"])
+
+    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, title string, headings array<string>, content string, content_hash string")
+
+
 def sections(title: str, headings: list[str], text: str, size: int = 3500, overlap: int = 500, least: int = 50) -> list[dict]:
     """The plain-text form: sections from one heading's first place to the next one's, in overlapping windows."""
     marks = sorted((at, h) for h in headings if (at := text.find(h)) >= 0)
@@ -351,7 +369,3 @@ def window_chunks(docs: DataFrame, size: int = 3500, overlap: int = 500, key: st
             yield pd.DataFrame(rows, columns=[key, "place", "content"])
 
     return docs.select(key, text).mapInPandas(run, f"{key} {docs.schema[key].dataType.simpleString()}, place int, content string")
-
-
-def to_json(rows: list[dict]) -> str:
-    return json.dumps(rows, ensure_ascii=False)

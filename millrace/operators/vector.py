@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -31,8 +31,8 @@ def top_k(vectors: DataFrame, query: list[float], k: int, threshold: float, key:
     return scored.where(F.col("similarity") > threshold).orderBy(F.desc("similarity"), key).limit(k)
 
 
-def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, threshold: float, key: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """query_id, key, similarity, rank for many queries (query_id, embedding).
+def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, threshold: float, key: str = "vec_id", column: str = "embedding", cells: Callable[[list[float]], list[int]] | None = None) -> DataFrame:
+    """query_id, key, similarity, rank for many queries (query_id, embedding); with ``cells``, of rows in a query's cells only.
 
     Queries are taken in blocks of ``MAX_QUERY_BLOCK``. In each task a block meets each Arrow batch as one matrix
     product, and only the batch's k best rows of each query leave Python, so what is shuffled is batches x queries x k.
@@ -45,10 +45,11 @@ def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, threshold: float
     while (block := list(islice(rows, MAX_QUERY_BLOCK))) or out is None:
         ids = [r.query_id for r in block]
         matrix = np.array([r.embedding for r in block], dtype=np.float64) if block else np.zeros((0, 1))
-        shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)))
+        probed = [frozenset(cells(r.embedding)) for r in block] if cells else None
+        shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300), probed))
 
         def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names, own = shared.value
+            names, own, probed = shared.value
             for batch in batches:
                 kept = [i for i, v in enumerate(batch.column(1).to_pylist()) if v is not None]
                 if not kept or not names:
@@ -57,6 +58,10 @@ def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, threshold: float
                 found = np.array(batch.column(1).take(pa.array(kept)).to_pylist(), dtype=np.float64)
                 sizes = np.linalg.norm(found, axis=1, keepdims=True)
                 sims = np.round(own @ (found / np.where(sizes > 0, sizes, np.inf)).T, 6)
+                if probed is not None:
+                    cell = batch.column(2).to_numpy(zero_copy_only=False)[kept]
+                    here = {c: np.array([c in p for p in probed]) for c in set(cell.tolist())}
+                    sims = np.where(np.stack([here[c] for c in cell.tolist()], axis=1), sims, -np.inf)
                 q, c, s = [], [], []
                 for i, name in enumerate(names):
                     hit = np.flatnonzero(sims[i] > threshold)
@@ -66,7 +71,7 @@ def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, threshold: float
                     s.append(sims[i][hit])
                 yield pa.RecordBatch.from_arrays([pa.array(q, types[0]), pa.array(np.concatenate(c)).cast(types[1]), pa.array(np.concatenate(s), pa.float64())], names=["query_id", key, "similarity"])
 
-        part = vectors.select(key, column).mapInArrow(score, schema)
+        part = vectors.select(key, column, *(["cell"] if cells else [])).mapInArrow(score, schema)
         out = part if out is None else out.unionByName(part)
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), key)
     return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..config import Quota
 from ..functions import text as T
-from ..operators import chat, quota, store
+from ..functions import token
+from ..operators import chat, prompts, quota, store
 from ..sources import pages as P
 from .registry import BLANK_SQL, Registry, table, trim_sql
 
@@ -235,6 +236,71 @@ def session_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", "user_id", chat.is_live(F.col("ts").cast("timestamp_ntz"), now).alias("live"))
 
 
+_INNER, _OUTER = (p.hex() for p in token.pads(b"an example key"))
+_BODY = "translate(rtrim(to_base64(encode('{\"sub\":' || user_id || ',\"exp\":' || event_id || '}')), '='), '+/', '-_')"
+
+
+@query(
+    f"""SELECT event_id, body || '.' || translate(rtrim(to_base64(unhex(sha256(unhex('{_OUTER}') || unhex(sha256(unhex('{_INNER}') || encode(body)))))), '='), '+/', '-_') AS token, event_id > 5000 AS is_valid
+FROM (SELECT event_id, {_BODY} AS body FROM events)"""
+)
+def session_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A signed token for each event, and whether it is still valid at second 5000."""
+    payload = F.concat(F.lit('{"sub":'), "user_id", F.lit(',"exp":'), "event_id", F.lit("}"))
+    rows = table(spark, sf_dir, "events").select("event_id", token.sign(payload, b"an example key").alias("token"))
+    return rows.withColumn("is_valid", token.is_valid(F.col("token"), b"an example key", F.lit(5000)))
+
+
+@query(
+    """WITH old AS (SELECT 'person' || c_custkey || '@example.com' AS email, c_name AS name, 'member' AS role, c_custkey AS id FROM customer),
+fresh AS (SELECT 'person' || s_suppkey * 10 || '@example.com' AS email, s_name AS name, 'new' AS role, 1000000 + s_suppkey AS id FROM supplier)
+SELECT coalesce(o.email, f.email) AS email, coalesce(o.id, f.id) AS id, coalesce(f.name, o.name) AS name, coalesce(o.role, f.role) AS role FROM old o FULL JOIN fresh f ON o.email = f.email"""
+)
+def upsert_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sign-ins merged into the known users: names change, roles and ids of known users stay."""
+    old, new = _users(spark, sf_dir)
+    return store.upsert(old, new, ["email"], ["name"]).select("email", "id", "name", "role")
+
+
+@query(
+    """WITH old AS (SELECT 'person' || c_custkey || '@example.com' AS email, c_name AS name, 'member' AS role, c_custkey AS id FROM customer),
+fresh AS (SELECT 'person' || s_suppkey * 10 || '@example.com' AS email, s_name AS name, 'admin' AS role, 1000000 + s_suppkey AS id FROM supplier)
+SELECT coalesce(o.email, f.email) AS email, coalesce(o.id, f.id) AS id, coalesce(f.name, o.name) AS name, coalesce(f.role, o.role) AS role FROM old o FULL JOIN fresh f ON o.email = f.email"""
+)
+def seed_admins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As above, with the role taken from the seeds."""
+    old, new = _users(spark, sf_dir)
+    return store.upsert(old, new.withColumn("role", F.lit("admin")), ["email"], ["name", "role"]).select("email", "id", "name", "role")
+
+
+def _users(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    def address(n: F.Column) -> F.Column:
+        return F.concat(F.lit("person"), n, F.lit("@example.com")).alias("email")
+
+    old = table(spark, sf_dir, "customer").select(address(F.col("c_custkey")), F.col("c_name").alias("name"), F.lit("member").alias("role"), F.col("c_custkey").cast("long").alias("id"))
+    new = table(spark, sf_dir, "supplier").select(address(F.col("s_suppkey") * 10), F.col("s_name").alias("name"), F.lit("new").alias("role"), (F.col("s_suppkey") + 1_000_000).cast("long").alias("id"))
+    return old, new
+
+
+@query("SELECT user_id || '/' || event_type AS account, min(event_id) AS user_ref, max(event_id) AS last_seen FROM events GROUP BY 1")
+def link_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accounts by (provider, account id): each event links its account anew; the first link's id stays."""
+    rows = table(spark, sf_dir, "events").select("event_type", "user_id", "event_id")
+    first = rows.groupBy("event_type", "user_id").agg(F.min("event_id").alias("id")).withColumn("last_seen", F.col("id"))
+    new = rows.groupBy("event_type", "user_id").agg(F.max("event_id").alias("id")).withColumn("last_seen", F.col("id"))
+    done = store.upsert(first, new, ["event_type", "user_id"], ["last_seen"])
+    return done.select(F.concat("user_id", F.lit("/"), "event_type").alias("account"), F.col("id").alias("user_ref"), "last_seen")
+
+
+@query(
+    f"""SELECT conv_id, turn, md5('Is this message clear enough to search for? Reply with JSON: decision (proceed or clarify), clarificationQuestion.' || chr(10) || 'History:' || chr(10) || '(none)' || chr(10) || 'Message: ' || text) AS gate_md5,
+  md5('[' || turn || '] ' || CASE WHEN length(text) > 1200 THEN regexp_replace(substring(text, 1, 1200), '{BLANK_SQL}+$', '') || '...' ELSE text END) AS candidate_md5 FROM conversations"""
+)
+def prompt_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _messages(spark, sf_dir)
+    return rows.select("conv_id", "turn", F.md5(prompts.ambiguity(F.col("text"), F.lit(""))).alias("gate_md5"), F.md5(prompts.candidate(F.col("turn"), F.col("text"))).alias("candidate_md5"))
+
+
 @query("SELECT conv_id, turn, role FROM conversations WHERE conv_id IN (SELECT user_id FROM events WHERE event_type = 'purchase')")
 def ownership_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     owners = table(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("conv_id"))

@@ -175,6 +175,11 @@ def structured_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.elements(table(spark, sf_dir, "pages"))
 
 
+@query()
+def plain_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.plain_pages(table(spark, sf_dir, "pages"))
+
+
 @query()
 def structure_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.chunks(table(spark, sf_dir, "pages"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import Retrieval
 from ..functions import text as T
-from ..operators import fusion, lexical, rerank, vector
+from ..operators import fusion, lexical, rerank, vector, vector_index
 from ..operators.models import rank_by_overlap
 from .registry import Registry, table
 
@@ -64,6 +64,15 @@ def vector_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.top_k_batch(vectors, queries, 5, 0.1)
 
 
+@query()
+def ann_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same queries through the index of cells; tests measure its recall against the exact answer."""
+    vectors = table(spark, sf_dir, "embeddings")
+    centres = vector_index.fit(vectors)
+    queries = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return vector_index.search_batch(vector_index.assign(vectors, centres), centres, queries, 5, 0.1)
+
+
 def _branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "chunk_id")
     parts = []
