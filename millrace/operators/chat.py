@@ -16,12 +16,14 @@ LAST_TURNS, TURN_CHARS = 12, 500
 
 
 def history(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role (user or model) and text: trimmed, not empty, from the first user turn on, without the last message."""
-    whole = Window.partitionBy("conv_id")
-    rows = messages.withColumn("last", F.max("turn").over(whole)).where(F.col("turn") < F.col("last"))
-    rows = rows.select("conv_id", "turn", F.when(F.col("role") == "user", "user").otherwise("model").alias("role"), normalize_whitespace_ends(F.coalesce("text", F.lit(""))).alias("text")).where("text <> ''")
-    first = rows.withColumn("first", F.min(F.when(F.col("role") == "user", F.col("turn"))).over(whole))
-    return first.where(F.col("turn") >= F.col("first")).drop("first")
+    """conv_id, turn, role (user or model) and text: trimmed, not empty, from the first user turn on, without the last message.
+
+    The bounds are partial aggregates, so a very long conversation is never gathered in one task.
+    """
+    rows = messages.select("conv_id", "turn", F.when(F.col("role") == "user", "user").otherwise("model").alias("role"), normalize_whitespace_ends(F.coalesce("text", F.lit(""))).alias("text"))
+    spoken = F.when((F.col("role") == "user") & (F.col("text") != ""), F.col("turn"))
+    bounds = rows.groupBy("conv_id").agg(F.max("turn").alias("last"), F.min(spoken).alias("first"))
+    return rows.where("text <> ''").join(bounds, "conv_id").where("turn >= first AND turn < last").drop("first", "last")
 
 
 def last_turns(messages: DataFrame, n: int = LAST_TURNS) -> DataFrame:
@@ -65,11 +67,13 @@ def context(chunks: Column) -> Column:
 
 
 def cited_sources(answers: DataFrame, sources: DataFrame) -> DataFrame:
-    """answer_id, number, title, url of the cited sources (answer_id, position, title, url); one for each url, none for a fallback answer."""
-    cited = answers.where(~is_fallback(F.col("text"))).select("answer_id", F.explode(cited_indexes(F.col("text"))).alias("number"))
-    rows = cited.join(sources, (cited.answer_id == sources.answer_id) & (cited.number == sources.position)).select(cited.answer_id, "number", "title", "url")
-    first = Window.partitionBy("answer_id", "url").orderBy("number")
-    return rows.withColumn("place", F.row_number().over(first)).where("place = 1").drop("place")
+    """answer_id, number, title, url of the cited sources (answer_id, position, title, url); one for each url, none for a fallback answer.
+
+    An answer may have several rows (paragraphs).
+    """
+    cited = answers.where(~is_fallback(F.col("text"))).select("answer_id", F.explode(cited_indexes(F.col("text"))).alias("position")).distinct()
+    first = F.min(F.struct(F.col("position").alias("number"), "title")).alias("first")
+    return cited.join(sources, ["answer_id", "position"]).groupBy("answer_id", "url").agg(first).select("answer_id", "first.number", "first.title", "url")
 
 
 def clean_answer(text: Column) -> Column:

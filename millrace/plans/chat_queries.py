@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Quota
@@ -126,21 +126,23 @@ hit AS (SELECT c.answer_id, c.number, s.title, s.url FROM (SELECT DISTINCT * FRO
 SELECT answer_id, number, title, url FROM (SELECT *, row_number() OVER (PARTITION BY answer_id, url ORDER BY number) AS place FROM hit) WHERE place = 1"""
 )
 def source_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cited sources of each conversation's joined answer, one for each address."""
+    """Cited sources of each conversation, whose messages are the answer's paragraphs; one for each address."""
     rows = _messages(spark, sf_dir)
     n = F.col("turn")
     marks = F.concat(F.lit("["), n, F.lit(","), n + 1, F.lit(","), n + 3, F.lit(",3]"))
-    answers = rows.groupBy(F.col("conv_id").alias("answer_id")).agg(F.concat_ws(" ", F.collect_list(marks)).alias("text"))
+    answers = rows.select(F.col("conv_id").alias("answer_id"), marks.alias("text"))
     sources = rows.select(F.col("conv_id").alias("answer_id"), (n + 1).alias("position"), F.col("role").alias("title"), F.concat(F.lit("https://example.com/"), "role").alias("url"))
     return chat.cited_sources(answers, sources)
 
 
 @query(
     """SELECT conv_id, md5(string_agg('[Source ' || n || '] (' || role || '):' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY n)) AS context_md5
-FROM (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) GROUP BY conv_id"""
+FROM (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 5)) GROUP BY conv_id"""
 )
 def context_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _messages(spark, sf_dir).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.col("role").alias("url"), F.col("text").alias("content")))).alias("chunks"))
+    """The context of five sources: each conversation's newest messages."""
+    newest = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
+    rows = _messages(spark, sf_dir).withColumn("back", F.row_number().over(newest)).where("back <= 5").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.col("role").alias("url"), F.col("text").alias("content")))).alias("chunks"))
     return rows.select("conv_id", F.md5(chat.context(F.col("chunks"))).alias("context_md5"))
 
 
