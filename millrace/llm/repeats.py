@@ -5,9 +5,10 @@
    segment. Texts are read once for (anchor, segment digest, place); texts themselves do not move.
 2. Segments that occur twice or more are repeated whole; those alone under their anchor are not. Counts are partial
    sums, so a passage in a third of all rows costs one counter in each task.
-3. What is left are the edges of repeats: single segments under an anchor that has other segments too. Only these, and
-   one copy of each of their partners, are cut from the texts and dealt by anchor. Each batch of anchors gets a
-   Burrows-Wheeler transform; breadth-first backward extension of its intervals sets common-prefix values in
+3. What is left are the edges of repeats: single segments under an anchor that has other segments too. A window reaches
+   at least HALF bytes beyond its anchor on one side, so segments that share one agree in a digest of the anchor and
+   HALF bytes before it or after it. Only segments that agree so with others, one copy of each, are cut from the texts
+   and dealt by anchor. Each batch of anchors gets a Burrows-Wheeler transform; breadth-first backward extension of its intervals sets common-prefix values in
    increasing order and stops at LENGTH. Neighbours whose value is still open share LENGTH bytes or more.
 4. An anchor with more than ``HOT`` different segments is not gathered in one task: its windows' 128-bit digests are
    dealt over buckets whose number follows the anchor's size, and equal digests are found there.
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 from .common import map_rows, small_batches, table, written
 
 LENGTH = 400
-GRAM = 16
+GRAM = 64
+HALF = (LENGTH - GRAM) // 2
 HOT = 4096
 BATCH_BYTES = 1 << 20
 BLOCK = 1 << 20
@@ -55,8 +57,10 @@ def segments(data: bytes, length: int = LENGTH) -> list[tuple[int, int, int, int
     width = length - GRAM + 1
     for at in range(0, max(0, len(data) - length + 1), BLOCK):
         raw = np.frombuffer(data, np.uint8)[at : at + BLOCK + length - 1]
-        eight = eights(raw)
-        gram = _mix(_mix(eight[: len(raw) - GRAM + 1]) + eight[GRAM - 8 : GRAM - 8 + len(raw) - GRAM + 1])
+        gram, size = eights(raw), 8
+        while size < GRAM:
+            gram = _mix(_mix(gram[:-size]) + gram[size:])
+            size *= 2
         low = (gram & ~_U((1 << 24) - 1)) | np.arange(len(gram), dtype=_U)
         span, least = 1, low
         while 2 * span <= width:
@@ -170,22 +174,33 @@ def _digest() -> F.Column:
     return F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("digest")
 
 
+def sides(data: bytes, place: int, first: int, last: int, digest) -> tuple[int | None, int | None]:
+    """Digests of the anchor with HALF bytes before it and after it, where windows of the run reach so far."""
+    before = digest(data[place - HALF : place + GRAM], seed=1) if place - first >= HALF else None
+    after = digest(data[place : place + GRAM + HALF], seed=2) if last + LENGTH - place >= GRAM + HALF else None
+    return before, after
+
+
 def anchors(docs: DataFrame) -> DataFrame:
-    """digest, key, segment, place, first, last: every run of windows of every document; written."""
+    """digest, key, segment, place, first, last, before, after: every run of windows of every document; written."""
     small_batches(docs.sparkSession)
 
     def load():
         import xxhash
 
+        def signed(part: bytes, seed: int) -> int:
+            return xxhash.xxh3_64_intdigest(part, seed=seed) - (1 << 63)
+
         def step(rows: Iterable[tuple]) -> Iterator[tuple]:
             for digest, data in rows:
                 for key, place, first, last in segments(data):
-                    yield digest, key, xxhash.xxh3_128_digest(data[first : last + LENGTH], seed=place - first), place, first, last
+                    before, after = sides(data, place, first, last, signed)
+                    yield digest, key, xxhash.xxh3_128_digest(data[first : last + LENGTH], seed=place - first), place, first, last, before, after
 
         return step
 
     long_enough = docs.select(_digest(), F.col("text").cast("binary").alias("raw")).where(F.length("raw") >= LENGTH)
-    return written(map_rows(long_enough, "digest binary, key long, segment binary, place int, first int, last int", load), "anchors")
+    return written(map_rows(long_enough, "digest binary, key long, segment binary, place int, first int, last int, before long, after long", load), "anchors")
 
 
 def _texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
@@ -294,10 +309,14 @@ def _by_digests(parts: DataFrame) -> DataFrame:
 def covered(docs: DataFrame) -> DataFrame:
     """digest and the sorted, merged covered spans of every different text that has any; written."""
     found = anchors(docs)
-    counts = written(found.groupBy("key", "segment").agg(F.count("*").alias("n"), F.min(F.struct("digest", "place", "first", "last")).alias("one")), "segments")
+    counts = written(found.groupBy("key", "segment").agg(F.count("*").alias("n"), F.min(F.struct("digest", "place", "first", "last", "before", "after")).alias("one")), "segments")
     whole = found.join(counts.where("n > 1").select("key", "segment"), ["key", "segment"], "left_semi").select("digest", F.col("first").alias("start"), (F.col("last") + LENGTH).alias("end"))
     open_keys = counts.groupBy("key").agg(F.count("*").alias("many"), F.min("n").alias("least")).where("many > 1 AND least = 1").select("key", "many")
-    wanted = counts.join(open_keys, "key").select("key", "n", "many", "one.*")
+    near = written(counts.join(open_keys.select("key"), "key").select("key", "segment", "n", "one.*"), "open-segments")
+    side = near.select("key", "segment", "n", F.explode(F.array_compact(F.array("before", "after"))).alias("side"))
+    agree = side.groupBy("key", "side").agg(F.count("*").alias("many"), F.min("n").alias("least")).where("many > 1 AND least = 1").select("key", "side")
+    kept = written(near.join(side.join(agree, ["key", "side"]).select("key", "segment").distinct(), ["key", "segment"], "left_semi"), "edge-segments")
+    wanted = kept.join(kept.groupBy("key").agg(F.count("*").alias("many")), "key").select("key", "n", "many", "digest", "place", "first", "last")
     parts = written(_cut_segments(docs, wanted), "edges")
     spans = whole.unionByName(_by_transform(parts))
     if not parts.where(F.col("many") > HOT).isEmpty():
