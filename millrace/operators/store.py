@@ -96,5 +96,18 @@ def commit(rows: DataFrame, path: str) -> None:
     fs.delete(back, True)
 
 
+def replace_partitions(rows: DataFrame, path: str, column: str, values: list) -> None:
+    """Put ``rows`` in place of the named partitions of a table; partitions that have no row left are emptied, the others stay as they are."""
+    spark = rows.sparkSession
+    rows = rows.persist()
+    left = {r[0] for r in rows.select(column).distinct().collect()}
+    rows.repartition(column).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
+    rows.unpersist()
+    jvm = spark.sparkContext._jvm
+    for value in sorted(set(values) - left):
+        gone = jvm.org.apache.hadoop.fs.Path(f"{path}/{column}={value}")
+        gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
+
+
 def exists(spark, name: str) -> bool:
     return spark.catalog.tableExists(name)

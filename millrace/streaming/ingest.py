@@ -1,14 +1,19 @@
-"""Ingestion of a stream of pages: parse, compare with what is stored, upsert documents and replace their chunks."""
+"""Ingestion of a stream of pages: parse, compare with what is stored, upsert documents and replace their chunks.
+
+Both tables are partitioned by a hash bucket of the address, so a batch reads and rewrites the buckets of its changed
+pages only; a bucket is staged and then moved into place.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import language_and_product
 from ..operators import store, structure
 
+BUCKETS = 1024
 DOCUMENTS = "id string, url string, title string, lang string, product string, content_hash string, updated_at timestamp, last_crawled_at timestamp"
 
 
@@ -19,19 +24,26 @@ def parsed(pages: DataFrame) -> DataFrame:
     return rows.withColumns({"updated_at": F.lit(None).cast("timestamp"), "last_crawled_at": F.current_timestamp()})
 
 
-def ingest_batch(pages: DataFrame, documents_path: str, chunks_path: str) -> None:
-    """One batch; replaying it changes nothing, since unchanged pages are left alone."""
+def bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("url"), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def ingest_batch(pages: DataFrame, documents_path: str, chunks_path: str, buckets: int = BUCKETS) -> None:
+    """One batch; replaying it changes nothing, since unchanged pages are left alone. Documents come last, so a batch that fails between the two is done again."""
     spark = pages.sparkSession
-    old = _read(spark, documents_path, DOCUMENTS)
-    fresh = store.changes(old, parsed(pages)).where("change <> 'unchanged'").drop("change").persist()
-    if fresh.isEmpty():
-        fresh.unpersist()
-        return
-    found = structure.chunks(pages.join(F.broadcast(fresh.select("url")), "url", "left_semi"))
-    found = found.select(store.new_id("url", "chunk_index").alias("id"), F.sha2("url", 256).alias("document_key"), "url", "chunk_index", "content", "anchor", "content_kind", "token_estimate")
-    kept = _read(spark, chunks_path, ", ".join(f"`{n}` {t}" for n, t in found.dtypes))
-    store.commit(store.replace_children(kept, found, "url"), chunks_path)
-    store.commit(store.upsert_marked(old, fresh, ["url"], ["title", "lang", "product", "content_hash", "last_crawled_at"]), documents_path)
+    own = pages.withColumn("bucket", bucket(buckets))
+    batch = sorted(r.bucket for r in own.select("bucket").distinct().collect())
+    old = _read(spark, documents_path, f"{DOCUMENTS}, bucket int").where(F.col("bucket").isin(batch))
+    fresh = store.changes(old, parsed(pages).withColumn("bucket", bucket(buckets))).where("change <> 'unchanged'").drop("change").persist()
+    touched = sorted(r.bucket for r in fresh.select("bucket").distinct().collect())
+    if touched:
+        changed = pages.join(fresh.select("url"), "url", "left_semi")
+        found = structure.chunks(changed).select(store.new_id("url", "chunk_index").alias("id"), F.sha2("url", 256).alias("document_key"), "url", "chunk_index", "content", "anchor", "content_kind", "token_estimate", bucket(buckets))
+        kept = _read(spark, chunks_path, ", ".join(f"`{n}` {t}" for n, t in found.dtypes)).where(F.col("bucket").isin(touched))
+        # a changed page without chunks still loses its old ones
+        left = kept.join(fresh.select("url"), "url", "left_anti").unionByName(found)
+        store.replace_partitions(left, chunks_path, "bucket", touched)
+        store.replace_partitions(store.upsert_marked(old.where(F.col("bucket").isin(touched)), fresh, ["url"], ["title", "lang", "product", "content_hash", "last_crawled_at"]), documents_path, "bucket", touched)
     fresh.unpersist()
 
 

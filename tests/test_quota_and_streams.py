@@ -72,7 +72,7 @@ def test_stream_equals_the_fold(spark, tmp_path):
 def test_stream_of_pages(spark, tmp_path):
     schema = "page_id long, url string, html string"
     first = [(i, f"https://e.org/en/guide/{i}", f"<title>P{i}</title><article><p>Text {i}</p></article>") for i in range(4)]
-    second = [first[0], (1, first[1][1], "<title>P1</title><article><p>New text</p><table><tr><td>x</table></article>"), (9, "https://e.org/de/x", "<article><h1>Nine</h1><p>n</p></article>")]
+    second = [first[0], (1, first[1][1], "<title>P1</title><article><p>New text</p><table><tr><td>x</table></article>"), (9, "https://e.org/de/x", "<article><h1>Nine</h1><p>n</p></article>"), (2, first[2][1], "<title>P2</title><article></article>")]
     for name, rows in (("in", first), ("more", second)):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}")
 
@@ -88,5 +88,6 @@ def test_stream_of_pages(spark, tmp_path):
         shutil.copy(f, tmp_path / "in" / "later.parquet")
     docs, chunks = run()
     assert len(docs) == 5 and all(docs[u].id == i for u, i in ids.items())
-    assert [c[1:] for c in chunks if c[0] == first[1][1]] == [(0, "New text"), (1, "x")] and len(chunks) == 6
+    assert [c[1:] for c in chunks if c[0] == first[1][1]] == [(0, "New text"), (1, "x")] and len(chunks) == 5
+    assert not [c for c in chunks if c[0] == first[2][1]]  # its text is gone, and so are its chunks
     assert docs["https://e.org/en/guide/1"].lang == "guide" and docs["https://e.org/de/x"].title == "Nine"
