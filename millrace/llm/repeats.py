@@ -364,3 +364,20 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated passages over every document."""
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+ORACLE = f"""
+WITH doc AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS raw FROM documents),
+win AS (SELECT rid, p, md5(array_slice(raw, p, p + {LENGTH - 1})) AS h FROM (SELECT rid, raw, unnest(range(1, octet_length(raw) - {LENGTH - 2})) AS p FROM doc WHERE octet_length(raw) >= {LENGTH})),
+twice AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1),
+hit AS (SELECT rid, p, CASE WHEN p - lag(p) OVER (PARTITION BY rid ORDER BY p) <= {LENGTH} THEN 0 ELSE 1 END AS fresh FROM win WHERE h IN (SELECT h FROM twice)),
+grouped AS (SELECT rid, p, sum(fresh) OVER (PARTITION BY rid ORDER BY p) AS g FROM hit),
+run AS (SELECT rid, g, min(p) AS first, max(p) + {LENGTH} AS stop FROM grouped GROUP BY rid, g),
+gap AS (
+  SELECT rid, coalesce(lag(stop) OVER (PARTITION BY rid ORDER BY g), 1) AS first, first - 1 AS last FROM run
+  UNION ALL SELECT doc.rid, coalesce(max(stop), 1), octet_length(any_value(raw)) FROM doc LEFT JOIN run ON doc.rid = run.rid GROUP BY doc.rid),
+kept AS (SELECT doc.rid, string_agg(hex(array_slice(raw, first, last)), '' ORDER BY first) AS h FROM doc JOIN gap ON doc.rid = gap.rid WHERE first <= last GROUP BY doc.rid),
+total AS (SELECT rid, sum(stop - first) AS n_removed, count(*) AS n_spans FROM run GROUP BY rid)
+SELECT doc_id, octet_length(raw) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(h, ''))) AS kept_sha256
+FROM doc LEFT JOIN kept ON doc.rid = kept.rid LEFT JOIN total ON doc.rid = total.rid
+"""

@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from helpers import documents, prose, save
@@ -45,6 +46,8 @@ def test_query_equals_brute_force(spark, tmp_path, monkeypatch, hot):
     folder = save(documents(spark, list(enumerate(texts))), tmp_path, "documents")
     rows = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.op7_repeats(spark, folder).collect()}
     assert rows == dict(enumerate(brute(texts)))
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    assert {r[0]: r[1:] for r in duckdb.sql(repeats.ORACLE).fetchall()} == rows
 
 
 def test_empty_table_and_repeated_rows(spark):
