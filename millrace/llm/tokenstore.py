@@ -25,6 +25,7 @@ import zlib
 from array import array
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -195,20 +196,27 @@ class LibraryEncoder:
         self.memo = Memo(self.piece)
 
     def piece(self, text: str) -> list[int]:
-        """A piece's ids. A blank and Latin letters are one pre-token, which goes to the library's model in its byte signs."""
+        """The ids of one pre-token: the library's model over its bytes in byte signs."""
         word = text[1:]
-        if text[:1] == " " and word.isalpha() and max(word) < "\u0250":
-            if not word.isascii():
-                word = word.encode().decode("latin-1").translate(self.signs)
-            return [t.id for t in self.model.tokenize("\u0120" + word)]
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        if word.isalpha() and text.isascii():
+            sign = "\u0120" + word if text[0] == " " else text
+        else:
+            sign = text.encode().decode("latin-1").translate(self.signs)
+        return [t.id for t in self.model.tokenize(sign)]
 
     def encode(self, text: str) -> bytes:
+        """The ids of a whole text: pre-tokens through the memo where the text is Latin, by the library else."""
         if not any(s in text for s in self.special):
             found = self.memo.encode(text)
             if found is not None:
                 return found
-        return array("I", self.piece(text)).tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+
+@lru_cache(1)
+def encoder(path: str) -> LibraryEncoder:
+    """One encoder for all tasks of a worker process; its memo is bounded."""
+    return LibraryEncoder(path)
 
 
 def write_store(docs: DataFrame, out: str, path: str | None = None) -> None:
@@ -220,7 +228,7 @@ def write_store(docs: DataFrame, out: str, path: str | None = None) -> None:
     dealt = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
 
     def load():
-        coder = LibraryEncoder(path)
+        coder = encoder(path)
         end = array("I", [END]).tobytes()
 
         def step(source: Iterable[tuple]) -> Iterator[tuple]:
