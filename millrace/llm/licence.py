@@ -18,9 +18,9 @@ import json
 import math
 import random
 import re
-from functools import lru_cache
+from functools import lru_cache, reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
@@ -49,8 +49,10 @@ ORDINARY = [
     "Free software was the subject of the talk.", "Copyright law has changed over the years.", "The creative team and the commons committee met.", "It was a general and public matter of the state.", "The foundation of the house is old.", "And the cat sat on the mat under the sun.", "We can redistribute the seats if you modify the plan.",
     "Version 2 of the form is here.", "The restaurant lost its liquor license in May.", "A permission slip is required for the trip.", "Their license plate was from another state.",
 ]
-#: A paragraph without any of these cannot reach a family: each family's weights stand on them.
-TRIGGERS = r"licen[sc]|gpl|\bmit\b|\bbsd\b|\bmpl\b|apache|creative commons|\bcc[ 0-]|\bcc0\b|redistribut|permission|rights reserved|confidential|spdx|copyright|public domain|free software"
+#: A paragraph without any of these cannot share MIN_OVERLAP of a template's n-grams, or has no family's own words.
+TRIGGERS = r"licen[sc]|gpl|\bmit\b.*under|under.*\bmit\b|\bbsd\b|\bmpl\b|apache|creative commons|\bcc[ 0-]|redistribut|permission|rights reserved|confidential|spdx|copyright|public domain|free software"
+#: Plain strings of which each trigger needs one set; looked for first, since that costs far less than the pattern.
+HINTS = [("licens",), ("licenc",), ("gpl",), ("mit", "under"), ("bsd",), ("mpl",), ("apache",), ("creative commons",), ("cc ",), ("cc0",), ("cc-",), ("redistribut",), ("permission",), ("rights reserved",), ("confidential",), ("spdx",), ("copyright",), ("public domain",), ("free software",)]
 _WORD = re.compile(r"[a-z0-9]+(?:[.][0-9]+)*")
 
 
@@ -138,17 +140,22 @@ def train() -> Model:
     return model
 
 
+def hinted(column: str) -> Column:
+    """Whether a lower-case text holds the strings of a trigger."""
+    return reduce(lambda a, b: a | b, (reduce(lambda a, b: a & b, (F.col(column).contains(x) for x in hint)) for hint in HINTS))
+
+
 def triggered(docs: DataFrame) -> DataFrame:
     """key (digest of the text), line (lower case), for the paragraphs with a trigger of each different text; written."""
-    lines = docs.where(F.col("text").rlike("(?i)" + TRIGGERS)).select(F.md5("text").alias("key"), F.explode(F.split("text", "\n")).alias("line"))
-    lines = lines.select("key", F.lower("line").alias("line")).where(F.col("line").rlike(TRIGGERS))
-    return written(lines.distinct(), "licence-lines")
+    texts = docs.select("text", F.lower("text").alias("low")).where(hinted("low"))
+    lines = texts.select(F.md5("text").alias("key"), F.explode(F.split("low", "\n")).alias("line"))
+    return written(lines.where(hinted("line")).where(F.col("line").rlike(TRIGGERS)).distinct(), "licence-lines")
 
 
 def features(lines: DataFrame) -> DataFrame:
     """line and g, its distinct words and word pairs, for each different line."""
     rows = lines.select("line").distinct().withColumn("w", F.regexp_extract_all("line", F.lit(r"[a-z0-9]+(?:[.][0-9]+)*"), F.lit(0))).where("size(w) > 0")
-    return rows.select("line", F.expr("array_distinct(concat(w, transform(sequence(1, greatest(size(w) - 1, 1)), i -> array_join(slice(w, i, 2), ' '))))").alias("g"))
+    return rows.select("line", F.expr("array_distinct(concat(w, zip_with(slice(w, 1, size(w) - 1), slice(w, 2, size(w) - 1), (a, b) -> concat(a, ' ', b))))").alias("g"))
 
 
 def _constant(spark: SparkSession, rows: list[dict], fields: str) -> DataFrame:

@@ -56,3 +56,10 @@ def test_empty_table_and_no_python(spark):
     assert out.count() == 0
     plan = licence.scan(documents(spark, [(1, "Released under the MIT License.")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_lines_without_a_trigger_reach_no_template():
+    for words in ("released under the new one", "mit dem wunder", "in source and binary forms with or without modification are met", "version 2.0 of the thing"):
+        assert licence.train().judge(words)[0] == licence.UNKNOWN
+    notices = [t for texts in licence.TEMPLATES.values() for t in texts]
+    assert all(any(all(h in t.lower() for h in hint) for hint in licence.HINTS) for t in notices)
