@@ -7,8 +7,10 @@ common k-mers. ``ROWS`` sketches make a band; texts that share a band are candid
 Copies of a text are one node (its digest). In each band's bucket every node is compared with the bucket's hub, so a
 bucket of n texts costs n comparisons and no bucket is cut. The hub is the node that shares most buckets with most
 others: the text that a group of near copies was made from agrees with nearly all of them, while two copies may be
-too far apart. Then components are formed, and in buckets that still hold several of them each component's delegate
-is compared with ``len(ORDERS)`` more hubs. Hubs are a parameter of recall, as the bands are. A candidate pair is a link if
+too far apart. Then components are formed. Buckets that still hold several components are looked at again, alone and in
+pairs: texts at the similarity bound share several bands, and a pair of bands holds few others. In each of these sets two
+nodes of each component, the most central one and one by a hash that differs from set to set, are compared with
+``len(ORDERS)`` hubs of the set. All of this is partial aggregates, linear in the buckets. A candidate pair is a link if
 its k-mers' Jaccard similarity (with occurrences) is ``SIMILARITY`` or more and an alignment inside the band of
 diagonals that this similarity allows confirms it (edit similarity of ``SIMILARITY`` or more).
 
@@ -29,8 +31,8 @@ from .common import map_rows, small_batches, table, written
 
 K, L, BANDS, ROWS = 5, 2, 16, 2
 SIMILARITY = 0.8
-#: The second turn's hubs: the first delegate of a bucket in each of these orders, which are the same in all buckets.
-ORDERS = ("central", "xxhash64(digest)", "-xxhash64(digest)")
+#: The second turn's hubs: the first delegate of a set in each of these orders.
+ORDERS = ("central", "draw", "-draw")
 #: Key tables of up to this many rows (16-byte digests) are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -245,8 +247,14 @@ def link(docs: DataFrame, sketched: DataFrame) -> DataFrame:
     roots = components(links)
     own = member.join(roots, member.digest == roots.node, "left").select("band", "digest", "central", F.coalesce("root", "digest").alias("root"))
     mixed = own.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band")
-    delegates = own.join(mixed, "band").groupBy("band", "root").agg(F.max(F.struct("central", "digest")).alias("d")).select("band", "root", "d.central", "d.digest")
-    delegates = written(delegates, "delegates")
+    near = own.join(mixed, "band").groupBy("digest", "root", "central").agg(F.array_sort(F.collect_set("band")).alias("own"))  # at most BANDS of them
+    alone_and_paired = F.expr("concat(own, flatten(transform(own, (x, i) -> transform(slice(own, i + 2, size(own)), y -> xxhash64(x, y)))))")
+    near = near.select("digest", "root", "central", F.explode(alone_and_paired).alias("band")).withColumn("draw", F.xxhash64("band", "digest"))
+    each = [F.max(F.struct(F.col(first), F.col(then), F.col("digest"))).alias(name) for name, first, then in (("a", "central", "draw"), ("b", "draw", "central"))]
+    reps = written(near.groupBy("band", "root").agg(*each), "delegates")
+    still = reps.groupBy("band").agg(F.count("*").alias("roots")).where("roots > 1").select("band")
+    reps = reps.join(still, "band").select("band", "root", F.explode(F.array_distinct(F.array(*(F.struct(F.col(f"{x}.central"), F.col(f"{x}.draw"), F.col(f"{x}.digest")) for x in "ab")))).alias("d"))
+    delegates = written(reps.select("band", "root", "d.*"), "delegates")
     best = [F.max(F.struct(F.expr(o).alias("o"), "digest", "root")).alias(f"h{i}") for i, o in enumerate(ORDERS)]
     hubs = delegates.groupBy("band").agg(*best).select("band", F.explode(F.array_distinct(F.array(*(F.struct(F.col(f"h{i}.digest").alias("hub"), F.col(f"h{i}.root").alias("hub_root")) for i in range(len(ORDERS)))))).alias("h"))
     second = written(edges_to(hubs.select("band", "h.hub", "h.hub_root"), delegates).join(first, ["a", "b"], "left_anti"), "pairs")
