@@ -49,10 +49,10 @@ ORDINARY = [
     "Free software was the subject of the talk.", "Copyright law has changed over the years.", "The creative team and the commons committee met.", "It was a general and public matter of the state.", "The foundation of the house is old.", "And the cat sat on the mat under the sun.", "We can redistribute the seats if you modify the plan.",
     "Version 2 of the form is here.", "The restaurant lost its liquor license in May.", "A permission slip is required for the trip.", "Their license plate was from another state.",
 ]
-#: A paragraph without any of these cannot share MIN_OVERLAP of a template's n-grams, or has no family's own words.
-TRIGGERS = r"licen[sc]|gpl|\bmit\b.*under|under.*\bmit\b|\bbsd\b|\bmpl\b|apache|creative commons|\bcc[ 0-]|redistribut|permission|rights reserved|confidential|spdx|copyright|public domain|free software"
+#: Only paragraphs that hold one of these are candidates: all templates do, and a line without them names no licence.
+TRIGGERS = r"licen[sc]|gpl|\bgnu\b|\bmit\b.*under|under.*\bmit\b|\bbsd\b|\bmpl\b|apache|creative commons|\bcc[ 0-]|redistribut|permission|rights reserved|confidential|spdx|copyright|public domain|free software"
 #: Plain strings of which each trigger needs one set; looked for first, since that costs far less than the pattern.
-HINTS = [("licens",), ("licenc",), ("gpl",), ("mit", "under"), ("bsd",), ("mpl",), ("apache",), ("creative commons",), ("cc ",), ("cc0",), ("cc-",), ("redistribut",), ("permission",), ("rights reserved",), ("confidential",), ("spdx",), ("copyright",), ("public domain",), ("free software",)]
+HINTS = [("licens",), ("licenc",), ("gpl",), ("gnu",), ("mit", "under"), ("bsd",), ("mpl",), ("apache",), ("creative commons",), ("cc ",), ("cc0",), ("cc-",), ("redistribut",), ("permission",), ("rights reserved",), ("confidential",), ("spdx",), ("copyright",), ("public domain",), ("free software",)]
 _WORD = re.compile(r"[a-z0-9]+(?:[.][0-9]+)*")
 
 
