@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from .common import map_rows, small_batches, table
 
 WINDOW = 8
-MAX_ITEMS = 2_000_000
+#: Bounds of the broadcast automaton, which has at most two states for each word of the items.
+MAX_ITEMS, MAX_WORDS = 200_000, 2_000_000
 #: Documents whose share of hit words exceeds this are dropped by the pipeline stage even with one item.
 MAX_COVERAGE = 0.5
 
@@ -147,12 +148,13 @@ class SuffixAutomaton:
         return [tuple(r) for r in runs], found
 
 
-def benchmark_items(benchmark: DataFrame, max_items: int = MAX_ITEMS) -> list[tuple[str | None, list[bytes]]]:
-    """The items' words, on the driver; the number of items is checked first, since the automaton is broadcast."""
+def benchmark_items(benchmark: DataFrame, max_items: int = MAX_ITEMS, max_words: int = MAX_WORDS) -> list[tuple[str | None, list[bytes]]]:
+    """The items' words, on the driver; their number and length are checked first, since the automaton is broadcast."""
     rows = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("raw"))
-    found = rows.limit(max_items + 1).collect()
-    if len(found) > max_items:
-        raise ValueError(f"more than {max_items} benchmark items; split the benchmark and scan once per part")
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("raw")), F.lit(0))).first()
+    if n > max_items or size > 8 * max_words:
+        raise ValueError(f"more than {max_items} benchmark items or about {max_words} words; split the benchmark and scan once per part")
+    found = rows.collect()
     return [(r.item, words_of(bytes(r.raw) if r.raw is not None else None)) for r in found]
 
 

@@ -27,6 +27,8 @@ MIN_SEEDS = 3
 CONFIDENT = 0.6
 MIN_SHARE = 0.005
 ROUNDS = 3
+#: Context tables of up to this many rows (8-byte hashes) are broadcast; larger ones are joined by shuffle.
+BROADCAST_ROWS = 100_000
 
 _RULES = {
     "email": r"(?:\\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\\.[A-Za-z0-9-]++)++",
@@ -95,11 +97,11 @@ def analyse(docs: DataFrame) -> DataFrame:
 
 
 def _context_counts(docs: DataFrame, contexts: DataFrame) -> DataFrame:
-    """c, n: how often each induced context stands before any word, over all texts. At most 4 / MIN_SHARE contexts are broadcast."""
+    """c, n: how often each induced context (written) stands before any word, over all texts. Contexts are broadcast where they are few."""
     line = F.explode(F.split(F.lower("text"), "\n")).alias("line")
     words = docs.where("text IS NOT NULL").select(line).where("line <> ''").select(F.split(F.concat(F.lit("^ "), F.col("line")), " +").alias("w"))
     seen = words.where("size(w) > 2").select(F.explode(F.expr("zip_with(slice(w, 1, size(w) - 2), slice(w, 2, size(w) - 2), (a, b) -> xxhash64(array(a, b)))")).alias("c"))
-    return seen.join(F.broadcast(contexts), "c").groupBy("c").agg(F.count("*").alias("n"))
+    return seen.join(F.broadcast(contexts) if contexts.count() <= BROADCAST_ROWS else contexts, "c").groupBy("c").agg(F.count("*").alias("n"))
 
 
 def discover(docs: DataFrame, analysed: DataFrame, rounds: int = ROUNDS) -> DataFrame | None:
@@ -110,7 +112,7 @@ def discover(docs: DataFrame, analysed: DataFrame, rounds: int = ROUNDS) -> Data
     total = seeds.groupBy("k").agg(F.countDistinct("v").alias("of_kind"))
     patterns = patterns.join(F.broadcast(total), "k").where((F.col("n_seeds") >= MIN_SEEDS) & (F.col("n_seeds") >= MIN_SHARE * F.col("of_kind"))).drop("of_kind")
     patterns = written(patterns, "pii-patterns")
-    contexts = patterns.select("c").distinct()
+    contexts = written(patterns.select("c").distinct(), "pii-contexts")
     if contexts.isEmpty():
         return None
     patterns = written(patterns.join(_context_counts(docs, contexts), "c"), "pii-counted")

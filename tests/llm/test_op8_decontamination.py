@@ -3,6 +3,7 @@ import random
 import re
 
 import duckdb
+import pytest
 from helpers import documents, prose, save
 
 from millrace.llm import decontam
@@ -86,3 +87,10 @@ def test_empty_tables(spark):
     assert decontam.scan_documents(documents(spark, []), none).count() == 0
     row = decontam.scan_documents(documents(spark, [(1, "a b c d e f g h i j")]), none).first()
     assert (row.n_words, row.n_hit, row.n_items) == (10, 0, 0)
+
+
+def test_too_large_a_benchmark_is_refused(spark):
+    items = spark.createDataFrame([(1, "a b c d"), (2, "e f")], "item_id long, text string")
+    for bounds in ({"max_items": 1}, {"max_words": 0}):
+        with pytest.raises(ValueError, match="split the benchmark"):
+            decontam.benchmark_items(items, **bounds)
