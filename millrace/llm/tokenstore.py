@@ -28,17 +28,19 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import Memo, byte_signs, default_path
-from .common import fresh_path, map_rows, small_batches, table
+from .common import fresh_path, map_rows, small_batches, table, written
 
 MAGIC = b"IDS1"
 HEAD = struct.Struct("<4sB3xIIQIq")
 ROW = np.dtype([("key", "<i8"), ("null", "u1"), ("length", "<u4")])
 SLOT = np.dtype([("print", "<u4"), ("row", "<u4"), ("rows", "<u4"), ("offset", "<u8")])
 END = 0
+#: Shards whose first places are broadcast, some hundred bytes each.
+MAX_SHARDS = 200_000
 NO_KEY = -(2**63)
 _MASK = (1 << 64) - 1
 
@@ -252,8 +254,8 @@ def _files(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(out)
 
 
-def shard_bases(spark: SparkSession, out: str) -> list[tuple[int, str, int, int]]:
-    """(lowest key, file, ids before it, ids) of each shard, in key order; one small row for each shard file."""
+def _heads(spark: SparkSession, out: str) -> DataFrame:
+    """file, lowest key, rows without a key, ids: one small row for each shard."""
 
     def load():
         def step(rows: Iterable[tuple]) -> Iterator[tuple]:
@@ -264,17 +266,25 @@ def shard_bases(spark: SparkSession, out: str) -> list[tuple[int, str, int, int]
 
         return step
 
-    found = map_rows(_files(spark, out).select("path", "content"), "file string, lowest long, nulls long, ids long", load).collect()
+    return map_rows(_files(spark, out).select("path", "content"), "file string, lowest long, nulls long, ids long", load)
+
+
+def shard_bases(spark: SparkSession, out: str) -> list[tuple[int, str, int, int]]:
+    """(lowest key, file, ids before it, ids) of each shard, in key order."""
     bases, before = [], 0
-    for r in sorted(found, key=lambda r: (r.lowest, -r.nulls, r.file)):
+    for r in sorted(_heads(spark, out).collect(), key=lambda r: (r.lowest, -r.nulls, r.file)):
         bases.append((r.lowest, r.file, before, r.ids))
         before += r.ids
     return bases
 
 
-def read_store(spark: SparkSession, out: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every stored row, from the files and through their indexes."""
-    base = spark.sparkContext.broadcast({file: before for _, file, before, _ in shard_bases(spark, out)})
+def read_store(spark: SparkSession, out: str, max_shards: int = MAX_SHARDS) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every stored row, from the files and through their indexes.
+
+    The shards' first places are broadcast; beyond ``max_shards`` they are summed in a table and joined by shuffle.
+    """
+    few = _files(spark, out).select("path").count() <= max_shards
+    base = spark.sparkContext.broadcast({file: before for _, file, before, _ in shard_bases(spark, out)} if few else None)
 
     def load():
         starts = base.value
@@ -282,11 +292,17 @@ def read_store(spark: SparkSession, out: str) -> DataFrame:
         def step(rows: Iterable[tuple]) -> Iterator[tuple]:
             for file, data in rows:
                 for key, start, n, crc in Shard(data).entries() if data else ():
-                    yield key, starts[file] + start, n, crc
+                    yield (key, starts[file] + start, n, crc) if starts else (key, start, n, crc, file)
 
         return step
 
-    return map_rows(_files(spark, out).select("path", "content"), "doc_id long, start long, n_tokens long, ids_crc32 long", load)
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
+    files = _files(spark, out).select("path", "content")
+    if few:
+        return map_rows(files, schema, load)
+    earlier = Window.orderBy("lowest", F.desc("nulls"), "file").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = written(_heads(spark, out).select("file", F.coalesce(F.sum("ids").over(earlier), F.lit(0)).alias("first")), "shard-firsts")
+    return map_rows(files, f"{schema}, file string", load).join(firsts, "file").select("doc_id", (F.col("first") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def lookup(spark: SparkSession, out: str, keys: list[int]) -> dict[int, list[list[int]]]:

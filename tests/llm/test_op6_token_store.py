@@ -48,6 +48,7 @@ def test_lookup_by_key(spark, tmp_path, library):
     assert found == {doc_id: [ids, ids], rows[3][0]: [library.encode(rows[3][1], add_special_tokens=False).ids]}
     back = tokenstore.read_store(spark, out).collect()
     assert len(back) == len(rows) + 2 and sum(r.doc_id is None for r in back) == 1
+    assert sorted(tokenstore.read_store(spark, out, max_shards=0).collect(), key=str) == sorted(back, key=str)
     assert sorted(r.start for r in back)[0] == 0 and len({r.start for r in back}) == len(back)
 
 
