@@ -25,10 +25,15 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size > 0, F.round(_dot(a, b) / size, 6))
 
 
+def above(vectors: DataFrame, query: list[float], threshold: float, key: str = "vec_id", column: str = "embedding") -> DataFrame:
+    """key, similarity of the rows above the threshold; no vector leaves the scan's task."""
+    scored = vectors.select(key, cosine(F.col(column), F.array(*map(F.lit, query))).alias("similarity"))
+    return scored.where(F.col("similarity") > threshold)
+
+
 def top_k(vectors: DataFrame, query: list[float], k: int, threshold: float, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """key, similarity of the k most similar rows above the threshold; one scan and a bounded heap in each task."""
-    scored = vectors.select(key, cosine(F.col(column), F.array(*map(F.lit, query))).alias("similarity"))
-    return scored.where(F.col("similarity") > threshold).orderBy(F.desc("similarity"), key).limit(k)
+    return above(vectors, query, threshold, key, column).orderBy(F.desc("similarity"), key).limit(k)
 
 
 def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, threshold: float, key: str = "vec_id", column: str = "embedding", cells: Callable[[list[float]], list[int]] | None = None) -> DataFrame:
@@ -78,6 +83,9 @@ def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, threshold: float
 
 
 def search(vectors: DataFrame, documents: DataFrame, query: list[float], k: int, threshold: float) -> DataFrame:
-    """Top k joined with their documents (inner): vec_id, similarity, lang, source. The joined side is k rows."""
-    hits = top_k(vectors.join(documents.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi"), query, k, threshold)
-    return documents.select(F.col("doc_id").alias("vec_id"), "lang", "source").join(F.broadcast(hits), "vec_id").select("vec_id", "similarity", "lang", "source")
+    """Top k of the rows that have a document: vec_id, similarity, lang, source.
+
+    What is joined is one id and one number for each row above the threshold; adaptive execution broadcasts it if small.
+    """
+    hits = above(vectors, query, threshold).join(documents.select(F.col("doc_id").alias("vec_id"), "lang", "source"), "vec_id")
+    return hits.select("vec_id", "similarity", "lang", "source").orderBy(F.desc("similarity"), "vec_id").limit(k)

@@ -49,8 +49,7 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT e.vec_id, {_SIM} AS similarity FROM embeddings e, embeddings q WHERE q.vec_id = 0 AND {_SIM} > 0.25")
 def vector_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = table(spark, sf_dir, "embeddings").select("vec_id", vector.cosine(F.col("embedding"), F.array(*map(F.lit, _query_vector(spark, sf_dir, 0)))).alias("similarity"))
-    return scored.where("similarity > 0.25")
+    return vector.above(table(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir, 0), 0.25)
 
 
 @query(
