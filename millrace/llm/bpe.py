@@ -189,7 +189,7 @@ class Transducer:
         self.v = vocabulary
         self.split = regex.compile(PATTERN)
         self.special = re.compile("|".join(map(re.escape, sorted(vocabulary.special, key=len, reverse=True)))) if vocabulary.special else None
-        self.memo = Memo(self.piece)
+        self.memo = Memo(lambda s: array("I", self.piece(s)).tobytes())
         self.held = self.tail = ""
         self.open: tuple[Merger, regex.Pattern] | None = None
 
@@ -286,14 +286,14 @@ NOT_LATIN = re.compile("[\u0250-\U0010ffff]")
 class Memo(dict):
     """Pre-tokens to bytes of 32-bit ids: a young and an old generation of bounded size before ``encode_piece``."""
 
-    def __init__(self, encode_piece: Callable[[str], list[int]]):
+    def __init__(self, encode_piece: Callable[[str], bytes]):
         self.encode_piece = encode_piece
         self.old: dict[str, bytes] = {}
 
     def __missing__(self, s: str) -> bytes:
         ids = self.old.get(s)
         if ids is None:
-            ids = array("I", self.encode_piece(s)).tobytes()
+            ids = self.encode_piece(s)
         if len(s) <= MEMO_CHARS:
             if len(self) >= MEMO_ENTRIES:
                 self.old = dict(self)

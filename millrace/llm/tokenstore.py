@@ -196,15 +196,16 @@ class LibraryEncoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.wide = self.tokenizer.get_vocab_size() > 65536
         self.memo = Memo(self.piece)
+        self.raw = [array("I", [i]).tobytes() for i in range(self.tokenizer.get_vocab_size())]
 
-    def piece(self, text: str) -> list[int]:
+    def piece(self, text: str) -> bytes:
         """The ids of one pre-token: the library's model over its bytes in byte signs."""
-        word = text[1:]
-        if word.isalpha() and text.isascii():
-            sign = "\u0120" + word if text[0] == " " else text
-        else:
-            sign = text.encode().decode("latin-1").translate(self.signs)
-        return [t.id for t in self.model.tokenize(sign)]
+        if not text.isascii() or not text[1:].isalpha():
+            text = text.encode().decode("latin-1").translate(self.signs)
+        elif text[0] == " ":
+            text = "\u0120" + text[1:]
+        raw = self.raw
+        return b"".join([raw[t.id] for t in self.model.tokenize(text)])
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text: pre-tokens through the memo where the text is Latin, by the library else."""
