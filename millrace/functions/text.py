@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: The white space of web scripts: ASCII white space and the Unicode blanks that Java's \s leaves out.
 BLANK = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+#: Fixed values of the rewrite gate.
 QUESTION_OPENERS = ("how", "what", "why", "when", "where")
 COMMANDS = ("vite", "npm", "pnpm", "yarn", "bun", "npx", "node")
 ACTIONS = ("build", "preview", "dev", "serve", "start", "run", "test", "install", "create", "add", "remove")
