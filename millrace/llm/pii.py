@@ -25,7 +25,6 @@ from .common import table, written
 KINDS = ("email", "ip", "card", "phone")
 MIN_SEEDS = 3
 CONFIDENT = 0.6
-MIN_SHARE = 0.005
 ROUNDS = 3
 #: Context tables of up to this many rows (8-byte hashes) are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 100_000
@@ -97,11 +96,12 @@ def analyse(docs: DataFrame) -> DataFrame:
 
 
 def _context_counts(docs: DataFrame, contexts: DataFrame) -> DataFrame:
-    """c, n: how often each induced context (written) stands before any word, over all texts. Contexts are broadcast where they are few."""
+    """c, n: how often each induced context (written) stands before any word, over all texts. Counted before the join, so that a common context is one row of it."""
     line = F.explode(F.split(F.lower("text"), "\n")).alias("line")
     words = docs.where("text IS NOT NULL").select(line).where("line <> ''").select(F.split(F.concat(F.lit("^ "), F.col("line")), " +").alias("w"))
     seen = words.where("size(w) > 2").select(F.explode(F.expr("zip_with(slice(w, 1, size(w) - 2), slice(w, 2, size(w) - 2), (a, b) -> xxhash64(array(a, b)))")).alias("c"))
-    return seen.join(F.broadcast(contexts) if contexts.count() <= BROADCAST_ROWS else contexts, "c").groupBy("c").agg(F.count("*").alias("n"))
+    counted = seen.groupBy("c").agg(F.count("*").alias("n"))
+    return counted.join(F.broadcast(contexts) if contexts.count() <= BROADCAST_ROWS else contexts, "c")
 
 
 def discover(docs: DataFrame, analysed: DataFrame, rounds: int = ROUNDS) -> DataFrame | None:
@@ -109,9 +109,7 @@ def discover(docs: DataFrame, analysed: DataFrame, rounds: int = ROUNDS) -> Data
     seeds = analysed.select(F.explode("seeds").alias("x")).select("x.*").groupBy("k", "c", "v").agg(F.count("*").alias("m"))
     seeds = written(seeds, "pii-seeds")
     patterns = seeds.groupBy("k", "c").agg(F.count("*").alias("n_seeds"), F.sum("m").alias("sure"))
-    total = seeds.groupBy("k").agg(F.countDistinct("v").alias("of_kind"))
-    patterns = patterns.join(F.broadcast(total), "k").where((F.col("n_seeds") >= MIN_SEEDS) & (F.col("n_seeds") >= MIN_SHARE * F.col("of_kind"))).drop("of_kind")
-    patterns = written(patterns, "pii-patterns")
+    patterns = written(patterns.where(F.col("n_seeds") >= MIN_SEEDS), "pii-patterns")
     contexts = written(patterns.select("c").distinct(), "pii-contexts")
     if contexts.isEmpty():
         return None

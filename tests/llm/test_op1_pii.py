@@ -88,6 +88,13 @@ def test_confident_patterns_find_unseen_identifiers(spark):
     assert all(rows[i].n_added == 0 for i, t in enumerate(texts) if t and "river" in t and "@mail" in t)
 
 
+def test_rare_contexts_count_beside_many_seeds(spark):
+    rows = [(i, f"word{i} other{i} user{i}@mail{i}.example.com") for i in range(1300)]
+    rows += [(2000 + i, f"kindly contact person{i}@mail.example.com") for i in range(5)] + [(3000, "kindly contact hidden(at)mail.example.com")]
+    found = {r.doc_id: r for r in pii.report(documents(spark, rows)).collect()}
+    assert found[3000].spans == "email:15:41" and sum(r.n_added for r in found.values()) == 1
+
+
 def test_mask_keeps_columns_and_other_text(spark):
     docs = documents(spark, [(1, "mail a.b@c.de or 10.0.0.1 ok"), (2, None), (3, ""), (4, "nothing"), (1, "mail a.b@c.de or 10.0.0.1 ok")]).withColumnRenamed("source", "key")
     out = pii.mask(docs)
