@@ -10,7 +10,9 @@ others: the text that a group of near copies was made from agrees with nearly al
 too far apart. Then components are formed. Buckets that still hold several components are looked at again, alone and in
 pairs: texts at the similarity bound share several bands, and a pair of bands holds few others. In each of these sets two
 nodes of each component, the most central one and one by a hash that differs from set to set, are compared with
-``len(ORDERS)`` hubs of the set. All of this is partial aggregates, linear in the buckets. A candidate pair is a link if
+``len(ORDERS)`` hubs of the set. All of this is partial aggregates, linear in the buckets. Nodes of buckets that even
+then hold several components are joined exactly: by their rarest k-mers, of which texts of this similarity must share
+one, so that no link between two components of a bucket is lost. A candidate pair is a link if
 its k-mers' Jaccard similarity (with occurrences) is ``SIMILARITY`` or more and an alignment inside the band of
 diagonals that this similarity allows confirms it (edit similarity of ``SIMILARITY`` or more).
 
@@ -259,7 +261,55 @@ def link(docs: DataFrame, sketched: DataFrame) -> DataFrame:
     hubs = delegates.groupBy("band").agg(*best).select("band", F.explode(F.array_distinct(F.array(*(F.struct(F.col(f"h{i}.digest").alias("hub"), F.col(f"h{i}.root").alias("hub_root")) for i in range(len(ORDERS)))))).alias("h"))
     second = written(edges_to(hubs.select("band", "h.hub", "h.hub_root"), delegates).join(first, ["a", "b"], "left_anti"), "pairs")
     more = written(verified(docs, second), "links")
-    return roots if more.isEmpty() else components(links.unionByName(more))
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        roots = components(links)
+    rest = overlapping(docs, apart(member, roots)).join(first, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti")
+    last = written(verified(docs, written(rest, "pairs")), "links")
+    return roots if last.isEmpty() else components(links.unionByName(last))
+
+
+def apart(member: DataFrame, roots: DataFrame) -> DataFrame:
+    """digest, root of the nodes in buckets that hold several components; written."""
+    own = member.join(roots, member.digest == roots.node, "left").select("band", "digest", F.coalesce("root", "digest").alias("root"))
+    mixed = own.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band")
+    return written(own.join(mixed, "band").select("digest", "root").distinct(), "apart")
+
+
+def overlapping(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """a, b: every pair of these nodes (written) of different components that can have the similarity; no such pair is left out.
+
+    K-mers are put in one order for all texts: those of a single component first, then from rare to common. Two sets of
+    Jaccard t or more have n - ceil(t n) + 1 first k-mers of each (of the smaller set n - ceil(2 t n / (1 + t)) + 1) in
+    common, and behind their first common one enough places for the k-mers that both need.
+    """
+    small_batches(docs.sparkSession)
+
+    def load():
+        memo = WordHash()
+
+        def step(rows: Iterable[tuple]) -> Iterator[tuple]:
+            for digest, root, text in rows:
+                own = kmers(words_of(text), memo).view(np.int64).tolist()
+                yield digest, root, len(own), own
+
+        return step
+
+    texts = keyed(docs.select(_digest(), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), nodes, "digest", "inner")
+    sets = map_rows(texts.groupBy("digest", "root").agg(F.first("text").alias("text")), "digest binary, root binary, n int, own array<long>", load)
+    each = written(sets, "kmers").select("digest", "root", "n", F.explode("own").alias("kmer"))
+    shared = each.groupBy("kmer").agg(F.count("*").alias("of"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("kmer", "of")
+    common = each.join(shared, "kmer").groupBy("digest", "root", "n").agg(F.array_sort(F.collect_list(F.struct("of", "kmer"))).alias("common"))  # at most the text's k-mers
+    start = common.select("digest", "root", "n", (F.col("n") - F.size("common")).alias("alone"), "common")
+    start = start.withColumn("long", F.expr(f"cast(n - ceil({SIMILARITY}D * n - 1e-6D) + 1 as int)")).withColumn("short", F.expr(f"cast(n - ceil({2 * SIMILARITY / (1 + SIMILARITY)}D * n - 1e-6D) + 1 as int)"))
+    start = start.where("long > alone").select("digest", "root", "n", "alone", "short", F.posexplode(F.expr("slice(common, 1, long - alone)")).alias("i", "x"))
+    start = written(start.select("digest", "root", "n", "short", F.expr("alone + i + 1").alias("at"), F.col("x.kmer").alias("kmer")), "first-kmers")
+    left = start.where("at <= short").select("kmer", *(F.col(c).alias(f"{c}_a") for c in ("digest", "root", "n", "at")))
+    right = start.select("kmer", *(F.col(c).alias(f"{c}_b") for c in ("digest", "root", "n", "at")))
+    fits = f"root_a <> root_b AND (n_a < n_b OR n_a = n_b AND digest_a < digest_b) AND n_a >= {SIMILARITY}D * n_b - 1e-6D"
+    room = f"1 + least(n_a - at_a, n_b - at_b) >= {SIMILARITY / (1 + SIMILARITY)}D * (n_a + n_b) - 1e-6D"
+    pairs = left.join(right, "kmer").where(f"{fits} AND {room}")
+    return pairs.select(F.least("digest_a", "digest_b").alias("a"), F.greatest("digest_a", "digest_b").alias("b")).distinct()
 
 
 def classes(docs: DataFrame) -> DataFrame:

@@ -95,6 +95,20 @@ def test_group_of_many_near_copies(spark):
     assert all(found[i] == i for i in range(1000, 1020))
 
 
+def test_links_inside_a_templated_group(spark):
+    rng = random.Random(21)
+    template = [f"t{i}" for i in range(154)]
+    rows = []
+    for i in range(250):
+        head = [f"h{i}a", f"h{i}b"]
+        rows += [(2 * i + j, " ".join(template + head + [f"own{rng.randrange(10**9)}" for _ in range(18)])) for j in (0, 1)]
+    assert plain_similar(rows[0][1].split(), rows[1][1].split()) and not plain_similar(rows[0][1].split(), rows[2][1].split())
+    bands = [set(near_dup.bands(near_dup.kmers(t.split(), near_dup.WordHash()))) for _, t in rows]
+    found = {r.doc_id: r.class_id for r in near_dup.classes(documents(spark, rows)).collect()}
+    assert all(found[2 * i + 1] == 2 * i for i in range(250) if bands[2 * i] & bands[2 * i + 1])
+    assert all(found[2 * i] == 2 * i for i in range(250))
+
+
 def test_dedup_keeps_one_of_each_class_and_all_columns(spark):
     rows = corpus()
     docs = documents(spark, [*rows, rows[8], (None, "alone in the world " * 4)]).withColumnRenamed("source", "digest")
