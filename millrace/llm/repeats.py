@@ -10,12 +10,16 @@
    HALF bytes before it or after it. Only segments that agree so with others, one copy of each, are cut from the texts
    and dealt by anchor. Each batch of anchors gets a Burrows-Wheeler transform; breadth-first backward extension of its intervals sets common-prefix values in
    increasing order and stops at LENGTH. Neighbours whose value is still open share LENGTH bytes or more.
-4. An anchor with more than ``HOT`` different segments is not gathered in one task: its windows' 128-bit digests are
-   dealt over buckets whose number follows the anchor's size, and equal digests are found there.
+4. An anchor whose segments have more than ``BATCH_BYTES`` bytes is not gathered in one task: the 128-bit digests of its
+   windows are counted by partial sums, and those counted twice or more are joined back.
 5. Covered bytes are merged for each different text and cut.
 
+Tables that a large side is joined with are written first, so that Spark can split a hot key's partition.
+
 Defined results: null and empty texts have no bytes; overlapping repeats count, also within one document; repeated
-documents of LENGTH bytes or more lose everything; everything is judged on the input.
+documents of LENGTH bytes or more lose everything; everything is judged on the input. Texts of any length are read in
+blocks of ``BLOCK`` window starts; an empty table gives no rows; ties between least-hashed bytes go to the left; other
+columns than doc_id and text are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -32,8 +36,8 @@ from .common import map_rows, small_batches, table, written
 LENGTH = 400
 GRAM = 64
 HALF = (LENGTH - GRAM) // 2
-HOT = 4096
-BATCH_BYTES = 1 << 20
+#: What one Burrows-Wheeler transform takes at most; it needs some 400 bytes of memory for each.
+BATCH_BYTES = 1 << 18
 BLOCK = 1 << 20
 #: Key tables of up to this many rows (16-byte digests) are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 500_000
@@ -211,23 +215,23 @@ def _texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
 
 
 def _cut_segments(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """key, n, many, digest, place, first, part (bytes) of the wanted segments."""
-    by_text = written(wanted.groupBy("digest").agg(F.collect_list(F.struct("key", "n", "many", "place", "first", "last")).alias("own")), "edge-places")
+    """key, n, bytes (of all wanted segments of the key), digest, place, first, part (bytes) of the wanted segments."""
+    by_text = written(wanted.groupBy("digest").agg(F.collect_list(F.struct("key", "n", "bytes", "place", "first", "last")).alias("own")), "edge-places")
 
     def load():
         def step(rows: Iterable[tuple]) -> Iterator[tuple]:
             for digest, raw, own in rows:
                 for x in own:
-                    yield x["key"], x["n"], x["many"], digest, x["place"], x["first"], raw[x["first"] : x["last"] + LENGTH]
+                    yield x["key"], x["n"], x["bytes"], digest, x["place"], x["first"], raw[x["first"] : x["last"] + LENGTH]
 
         return step
 
     joined = _texts(docs, by_text).join(by_text, "digest").select("digest", "raw", "own")
-    return map_rows(joined, "key long, n long, many long, digest binary, place int, first int, part binary", load)
+    return map_rows(joined, "key long, n long, bytes long, digest binary, place int, first int, part binary", load)
 
 
 def _by_transform(parts: DataFrame) -> DataFrame:
-    """digest, start, end: covered bytes found by the transform of batches of whole anchors."""
+    """digest, start, end: covered bytes found by the transform of batches of whole anchors, ``BATCH_BYTES`` at most."""
 
     def load():
         def solve(held: list[tuple]) -> Iterator[tuple]:
@@ -240,70 +244,40 @@ def _by_transform(parts: DataFrame) -> DataFrame:
         def step(rows: Iterable[tuple]) -> Iterator[tuple]:
             held: list[tuple] = []
             size, last = 0, None
-            for key, n, digest, first, part in rows:
-                if key != last and size >= BATCH_BYTES:
+            for key, n, digest, first, part, total in rows:
+                if key != last and held and size + total > BATCH_BYTES:
                     yield from solve(held)
                     held, size = [], 0
+                if key != last:
+                    size, last = size + total, key
                 held.append((digest, first, part, n == 1))
-                size, last = size + len(part) + 1, key
             if held:
                 yield from solve(held)
 
         return step
 
-    dealt = parts.where(F.col("many") <= HOT).select("key", "n", "digest", "first", "part").repartition("key").sortWithinPartitions("key")
+    dealt = parts.where(F.col("bytes") <= BATCH_BYTES).select("key", "n", "digest", "first", "part", "bytes").repartition("key").sortWithinPartitions("key")
     return map_rows(dealt, "digest binary, start int, end int", load)
 
 
 def _by_digests(parts: DataFrame) -> DataFrame:
-    """digest, start, end: covered bytes under hot anchors, by windows' digests dealt over buckets."""
+    """digest, start, end: covered bytes under hot anchors, by counts of their windows' digests (partial sums, then a join that can be split)."""
 
-    def deal():
+    def load():
         import xxhash
 
         def step(rows: Iterable[tuple]) -> Iterator[tuple]:
-            for key, n, many, digest, place, first, part in rows:
-                buckets = min(LENGTH, 2 * (1 + many // HOT))
-                dealt: dict[int, list[bytes]] = {}
+            for n, digest, place, first, part in rows:
                 for k in range(len(part) - LENGTH + 1):
-                    h = xxhash.xxh3_128_digest(part[k : k + LENGTH], seed=place - first - k)
-                    dealt.setdefault(h[0] % buckets if buckets <= 256 else int.from_bytes(h[:2], "big") % buckets, []).append(h + k.to_bytes(4, "big"))
-                for bucket, windows in dealt.items():
-                    yield key, bucket, n == 1, digest, first, b"".join(windows)
-
-        return step
-
-    def meet():
-        def solve(held: list[tuple]) -> Iterator[tuple]:
-            raw = np.frombuffer(b"".join(h[2] for h in held), np.uint8).reshape(-1, 20)
-            pair = np.ascontiguousarray(raw[:, :16]).view(np.dtype((np.void, 16))).ravel()
-            _, inverse, count = np.unique(pair, return_inverse=True, return_counts=True)
-            twice = count[inverse] > 1
-            offset = np.ascontiguousarray(raw[:, 16:]).view(">u4").ravel().astype(np.int64)
-            at = 0
-            for digest, first, windows, single in held:
-                n = len(windows) // 20
-                if single:
-                    for k in np.sort(offset[at : at + n][twice[at : at + n]]).tolist():
-                        yield digest, first + k, first + k + LENGTH
-                at += n
-
-        def step(rows: Iterable[tuple]) -> Iterator[tuple]:
-            held: list[tuple] = []
-            last = None
-            for key, bucket, single, digest, first, windows in rows:
-                if (key, bucket) != last and held:
-                    yield from solve(held)
-                    held = []
-                held.append((digest, first, windows, single))
-                last = key, bucket
-            if held:
-                yield from solve(held)
+                    yield xxhash.xxh3_128_digest(part[k : k + LENGTH], seed=place - first - k), digest, first + k, n == 1
 
         return step
 
-    hot = map_rows(parts.where(F.col("many") > HOT), "key long, bucket int, single boolean, digest binary, first int, windows binary", deal)
-    return map_rows(hot.repartition("key", "bucket").sortWithinPartitions("key", "bucket"), "digest binary, start int, end int", meet)
+    hot = parts.where(F.col("bytes") > BATCH_BYTES).select("n", "digest", "place", "first", "part")
+    windows = written(map_rows(hot, "window binary, digest binary, start int, single boolean", load), "hot-windows")
+    twice = written(windows.groupBy("window").agg(F.count("*").alias("of")).where("of > 1").select("window"), "repeated-windows")
+    twice = F.broadcast(twice) if twice.count() <= BROADCAST_ROWS else twice
+    return windows.where("single").join(twice, "window", "left_semi").select("digest", "start", (F.col("start") + LENGTH).alias("end"))
 
 
 def covered(docs: DataFrame) -> DataFrame:
@@ -311,15 +285,16 @@ def covered(docs: DataFrame) -> DataFrame:
     found = anchors(docs)
     counts = written(found.groupBy("key", "segment").agg(F.count("*").alias("n"), F.min(F.struct("digest", "place", "first", "last", "before", "after")).alias("one")), "segments")
     whole = found.join(counts.where("n > 1").select("key", "segment"), ["key", "segment"], "left_semi").select("digest", F.col("first").alias("start"), (F.col("last") + LENGTH).alias("end"))
-    open_keys = counts.groupBy("key").agg(F.count("*").alias("many"), F.min("n").alias("least")).where("many > 1 AND least = 1").select("key", "many")
-    near = written(counts.join(open_keys.select("key"), "key").select("key", "segment", "n", "one.*"), "open-segments")
+    open_keys = written(counts.groupBy("key").agg(F.count("*").alias("many"), F.min("n").alias("least")).where("many > 1 AND least = 1").select("key"), "open-keys")
+    near = written(counts.join(open_keys, "key").select("key", "segment", "n", "one.*"), "open-segments")
     side = near.select("key", "segment", "n", F.explode(F.array_compact(F.array("before", "after"))).alias("side"))
     agree = side.groupBy("key", "side").agg(F.count("*").alias("many"), F.min("n").alias("least")).where("many > 1 AND least = 1").select("key", "side")
     kept = written(near.join(side.join(agree, ["key", "side"]).select("key", "segment").distinct(), ["key", "segment"], "left_semi"), "edge-segments")
-    wanted = kept.join(kept.groupBy("key").agg(F.count("*").alias("many")), "key").select("key", "n", "many", "digest", "place", "first", "last")
+    size = written(kept.groupBy("key").agg(F.sum(F.col("last") - F.col("first") + LENGTH + 1).alias("bytes")), "edge-keys")
+    wanted = kept.join(size, "key").select("key", "n", "bytes", "digest", "place", "first", "last")
     parts = written(_cut_segments(docs, wanted), "edges")
     spans = whole.unionByName(_by_transform(parts))
-    if not parts.where(F.col("many") > HOT).isEmpty():
+    if not parts.where(F.col("bytes") > BATCH_BYTES).isEmpty():
         spans = spans.unionByName(_by_digests(parts))
     return written(spans.distinct().groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans")), "covered")
 

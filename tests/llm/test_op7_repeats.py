@@ -39,9 +39,9 @@ def corpus():
     return texts + texts[12:18] + ["é" * 450]
 
 
-@pytest.mark.parametrize("hot", [4096, 3])
-def test_query_equals_brute_force(spark, tmp_path, monkeypatch, hot):
-    monkeypatch.setattr(repeats, "HOT", hot)
+@pytest.mark.parametrize("most", [1 << 18, 3000])
+def test_query_equals_brute_force(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(repeats, "BATCH_BYTES", most)
     texts = corpus()
     folder = save(documents(spark, list(enumerate(texts))), tmp_path, "documents")
     rows = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.op7_repeats(spark, folder).collect()}
@@ -72,3 +72,21 @@ def test_segments_cover_every_window():
     covered = np.concatenate([np.arange(first, last + 1) for _, _, first, last in runs])
     assert covered.tolist() == list(range(len(data) - 399))
     assert all(first <= place and place + repeats.GRAM <= first + 400 and place <= last + 400 - repeats.GRAM for _, place, first, last in runs)
+
+
+def test_text_longer_than_a_block(spark):
+    rng = random.Random(8)
+    passage = prose(rng, 400)
+    head = "".join(rng.choices("abcdefgh ", k=repeats.BLOCK - len(passage) // 2))
+    texts = [head + passage + "".join(rng.choices("abcdefgh ", k=5000)), "other " + passage + " end"]
+    rows = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(documents(spark, list(enumerate(texts)))).collect()}
+    raws = [t.encode() for t in texts]
+    at = [raws[0].index(passage.encode()), 6]
+    for k, raw in enumerate(raws):
+        a, b = at[k], at[k] + len(passage)
+        other = raws[1 - k]
+        while a and at[1 - k] - (at[k] - a) > 0 and raw[a - 1] == other[at[1 - k] - (at[k] - a) - 1]:
+            a -= 1
+        while b < len(raw) and at[1 - k] + (b - at[k]) < len(other) and raw[b] == other[at[1 - k] + (b - at[k])]:
+            b += 1
+        assert rows[k] == (len(raw), b - a, 1, hashlib.sha256(raw[:a] + raw[b:]).hexdigest())
