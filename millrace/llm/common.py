@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows that one Arrow batch holds when Python sees whole texts; keeps a batch of long texts small.
 TEXT_BATCH_ROWS = 256
+#: Row groups of intermediate tables; a writer holds one of them in memory.
+BLOCK_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,11 +38,15 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """The rows, written to the shared folder and read again: cuts the lineage and survives lost executors."""
+def written(df: DataFrame, label: str, compact: bool = False) -> DataFrame:
+    """The rows, written to the shared folder and read again: cuts the lineage and survives lost executors.
+
+    ``compact`` deals the rows into partitions of even size first, for results that are small beside what they come
+    from: few files instead of one small file for each task.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.parquet(path)
+    (df.hint("rebalance") if compact else df).write.option("parquet.block.size", BLOCK_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -216,7 +216,7 @@ def _texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
 
 def _cut_segments(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """key, n, bytes (of all wanted segments of the key), digest, place, first, part (bytes) of the wanted segments."""
-    by_text = written(wanted.groupBy("digest").agg(F.collect_list(F.struct("key", "n", "bytes", "place", "first", "last")).alias("own")), "edge-places")
+    by_text = written(wanted.groupBy("digest").agg(F.collect_list(F.struct("key", "n", "bytes", "place", "first", "last")).alias("own")), "edge-places", compact=True)
 
     def load():
         def step(rows: Iterable[tuple]) -> Iterator[tuple]:
@@ -274,8 +274,8 @@ def _by_digests(parts: DataFrame) -> DataFrame:
         return step
 
     hot = parts.where(F.col("bytes") > BATCH_BYTES).select("n", "digest", "place", "first", "part")
-    windows = written(map_rows(hot, "window binary, digest binary, start int, single boolean", load), "hot-windows")
-    twice = written(windows.groupBy("window").agg(F.count("*").alias("of")).where("of > 1").select("window"), "repeated-windows")
+    windows = written(map_rows(hot, "window binary, digest binary, start int, single boolean", load), "hot-windows", compact=True)
+    twice = written(windows.groupBy("window").agg(F.count("*").alias("of")).where("of > 1").select("window"), "repeated-windows", compact=True)
     twice = F.broadcast(twice) if twice.count() <= BROADCAST_ROWS else twice
     return windows.where("single").join(twice, "window", "left_semi").select("digest", "start", (F.col("start") + LENGTH).alias("end"))
 
@@ -285,18 +285,18 @@ def covered(docs: DataFrame) -> DataFrame:
     found = anchors(docs)
     counts = written(found.groupBy("key", "segment").agg(F.count("*").alias("n"), F.min(F.struct("digest", "place", "first", "last", "before", "after")).alias("one")), "segments")
     whole = found.join(counts.where("n > 1").select("key", "segment"), ["key", "segment"], "left_semi").select("digest", F.col("first").alias("start"), (F.col("last") + LENGTH).alias("end"))
-    open_keys = written(counts.groupBy("key").agg(F.count("*").alias("many"), F.min("n").alias("least")).where("many > 1 AND least = 1").select("key"), "open-keys")
-    near = written(counts.join(open_keys, "key").select("key", "segment", "n", "one.*"), "open-segments")
+    open_keys = written(counts.groupBy("key").agg(F.count("*").alias("many"), F.min("n").alias("least")).where("many > 1 AND least = 1").select("key"), "open-keys", compact=True)
+    near = written(counts.join(open_keys, "key").select("key", "segment", "n", "one.*"), "open-segments", compact=True)
     side = near.select("key", "segment", "n", F.explode(F.array_compact(F.array("before", "after"))).alias("side"))
     agree = side.groupBy("key", "side").agg(F.count("*").alias("many"), F.min("n").alias("least")).where("many > 1 AND least = 1").select("key", "side")
-    kept = written(near.join(side.join(agree, ["key", "side"]).select("key", "segment").distinct(), ["key", "segment"], "left_semi"), "edge-segments")
-    size = written(kept.groupBy("key").agg(F.sum(F.col("last") - F.col("first") + LENGTH + 1).alias("bytes")), "edge-keys")
+    kept = written(near.join(side.join(agree, ["key", "side"]).select("key", "segment").distinct(), ["key", "segment"], "left_semi"), "edge-segments", compact=True)
+    size = written(kept.groupBy("key").agg(F.sum(F.col("last") - F.col("first") + LENGTH + 1).alias("bytes")), "edge-keys", compact=True)
     wanted = kept.join(size, "key").select("key", "n", "bytes", "digest", "place", "first", "last")
-    parts = written(_cut_segments(docs, wanted), "edges")
+    parts = written(_cut_segments(docs, wanted), "edges", compact=True)
     spans = whole.unionByName(_by_transform(parts))
     if not parts.where(F.col("bytes") > BATCH_BYTES).isEmpty():
         spans = spans.unionByName(_by_digests(parts))
-    return written(spans.distinct().groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans")), "covered")
+    return written(spans.distinct().groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans")), "covered", compact=True)
 
 
 def merge(spans: list[dict]) -> list[tuple[int, int]]:
@@ -332,7 +332,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     cut = map_rows(_texts(docs, spans).join(spans, "digest").select("digest", "raw", "spans"), "digest binary, n_removed long, n_spans long, kept string", load)
     rows = docs.select("doc_id", _digest(), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("sha"))
-    out = rows.join(written(cut, "cut"), "digest", "left")
+    out = rows.join(cut, "digest", "left")
     return out.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept", "sha").alias("kept_sha256"))
 
 
