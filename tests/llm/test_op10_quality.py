@@ -78,6 +78,40 @@ def test_viterbi_is_the_best_path():
         assert abs(score(field.decode(f)) - best) < 1e-9
 
 
+def mixed(rng):
+    """Boilerplate lines with a content line before and behind them, and the true labels."""
+    lines = [prose(rng, 9).capitalize() + ".", *(" | ".join(prose(rng, 10).split()) for _ in range(rng.randrange(3, 6))), prose(rng, 12).capitalize() + "."]
+    return "\n".join(lines), [1, *[0] * (len(lines) - 2), 1]
+
+
+def test_labels_change_within_a_document():
+    rng = random.Random(41)
+    texts, ys = zip(*((good(rng), 1) if k % 2 else (mixed(rng)[0], 0) for k in range(200)), strict=True)
+    field = quality.LineField.train(list(texts), list(ys))
+    for _ in range(20):
+        text, truth = mixed(rng)
+        assert field.label(quality.lines_of(text)[0]) == truth
+    assert np.ptp(field.move) > 0.5  # lines like their neighbours
+
+
+def test_verdict_follows_the_best_labelling(spark):
+    rng = random.Random(43)
+    texts = [mixed(rng)[0] for _ in range(10)] + [good(rng) for _ in range(10)]
+    field = quality.LineField(threshold=0.4)
+    got = {r.doc_id: r for r in quality.score_documents(documents(spark, list(enumerate(texts))), field).collect()}
+    for i, text in enumerate(texts):
+        lines = quality.lines_of(text)[0]
+        rows = [quality.line_features(*x) for x in lines]
+
+        def score(labels, rows=rows):
+            return sum(field.gain[k] * x for row, y in zip(rows, labels, strict=True) if y for k, x in enumerate(row)) + sum(field.move[a, b] for a, b in zip(labels, labels[1:], strict=False))
+
+        best = max(([i >> k & 1 for k in range(len(lines))] for i in range(1 << len(lines))), key=score)
+        share = sum(n for (_, n, _), y in zip(lines, best, strict=True) if y) / sum(n for _, n, _ in lines)
+        assert (got[i].n_lines, got[i].n_content_lines) == (len(lines), sum(best)) and abs(got[i].content_share - share) < 1e-9
+        assert got[i].kept == (not brute(text)[5] and share >= 0.4)
+
+
 def test_without_labels_and_empty(spark, tmp_path):
     rng = random.Random(2)
     save(documents(spark, [(1, good(rng)), (2, bad(rng))]), tmp_path, "documents")
