@@ -12,7 +12,7 @@ _MODULES = {"op7_repeats": repeats, "op9_licence": licence, "op5_near_dup": near
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: getattr(module, name) for name, module in _MODULES.items()}
+    return {name: getattr(module, name) for name, module in _MODULES.items()} | {"page_language": langid.page_language}
 
 
 def oracle_sql() -> dict[str, str]:
