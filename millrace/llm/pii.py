@@ -12,7 +12,9 @@ beside the texts), once to count the induced contexts. Copies of a text have the
 keyed by the text's digest and no row order or unique id is needed.
 
 Defined results: null and empty texts have no spans; repeated and null ids are kept row by row; spans of different
-kinds may overlap; positions are code points, ends exclusive.
+kinds may overlap; positions are code points, ends exclusive; ties in order of start go by kind as listed; texts of any
+length are read whole; an empty table gives no rows; other columns than doc_id and text are not read, and ``mask`` hands
+them on unchanged, whatever their names. Words of fewer than ``LEAST_SIGNS`` signs are no candidates.
 """
 
 from __future__ import annotations
@@ -26,6 +28,9 @@ KINDS = ("email", "ip", "card", "phone")
 MIN_SEEDS = 3
 CONFIDENT = 0.6
 ROUNDS = 3
+NEAR = 80
+#: Shorter words are no candidates: they are plain small numbers and list marks.
+LEAST_SIGNS = 5
 #: Context tables of up to this many rows (8-byte hashes) are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -71,11 +76,16 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
 
 def _context(start: str) -> str:
-    """SQL for the hash of the two words before a span that stands after a blank or at a line's start; null else."""
-    line = f"substring_index(substring(t, greatest({start} - 80, 0) + 1, least({start}, 80)), '\\n', -1)"
-    words = f"split(concat('^ ', lower({line})), ' +')"
+    """SQL for the hash of the two words before a span that stands after a blank or at a line's start; null else.
+
+    The line's last ``NEAR`` signs mostly hold two whole words; where they don't, the whole line is read.
+    """
+    near = f"substring_index(substring(t, greatest({start} - {NEAR}, 0) + 1, least({start}, {NEAR})), '\\n', -1)"
+    whole = f"substring_index(substring(t, 1, {start}), '\\n', -1)"
+    words = "split(concat('^ ', lower({})), ' +')"
+    line = f"if({start} <= {NEAR} or length({near}) < {NEAR} or size({words.format(near)}) >= 5, {near}, {whole})"
     fits = f"{start} > 0 and substring(t, {start}, 1) = ' ' and length(trim({line})) > 0"
-    return f"if({fits}, xxhash64(slice({words}, -3, 2)), null)"
+    return f"if({fits}, xxhash64(slice({words.format(line)}, -3, 2)), null)"
 
 
 def analyse(docs: DataFrame) -> DataFrame:
@@ -83,7 +93,7 @@ def analyse(docs: DataFrame) -> DataFrame:
     rows = base_spans(docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t")))
     all_base = F.expr(f"concat({', '.join(f'transform({k}, x -> struct(x.s as s, x.e as e, {n} as k))' for n, k in enumerate(KINDS))})")
     trimmed = "transform({}, x -> named_struct('s', x.s, 'e', x.s + length(rtrim('.,;:!?)\\'\"*#$%&|', x.v)), 'v', rtrim('.,;:!?)\\'\"*#$%&|', x.v)))".format(_places(_CANDIDATE))
-    fresh = f"filter({trimmed}, x -> length(x.v) >= 5 and not exists(base, b -> b.s < x.e and x.s < b.e))"
+    fresh = f"filter({trimmed}, x -> length(x.v) >= {LEAST_SIGNS} and not exists(base, b -> b.s < x.e and x.s < b.e))"
     rows = rows.withColumn("base", all_base).withColumn("cand", F.expr(f"if(t rlike '[0-9@]|[(\\\\[]at[)\\\\]]', {fresh}, cast(array() as {_SPAN}))"))
     rows = rows.withColumns(
         {
@@ -155,7 +165,7 @@ _ADDED = "transform(added, x -> named_struct('s', x.s, 'k', x.k, 'e', x.e))"
 def mask(docs: DataFrame) -> DataFrame:
     """The documents with each span replaced by its kind in brackets (spans that overlap: by the first one's), in the columns of ``docs``."""
     found = discover(docs, analyse(docs))
-    rows = base_spans(docs.withColumns({"t": F.coalesce(F.col("text"), F.lit(""))}))
+    rows = base_spans(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t")))
     empty = F.expr("cast(array() as array<struct<s:int,e:int,k:int>>)")
     if found is None:
         rows = rows.withColumn("added", empty)
@@ -168,9 +178,9 @@ def mask(docs: DataFrame) -> DataFrame:
     )
     names = "array({})".format(", ".join(f"'[{k.upper()}]'" for k in KINDS))
     pieces = f"transform(apart, (x, i) -> concat(substring(t, if(i = 0, 0, apart[i - 1].e) + 1, x.s - if(i = 0, 0, apart[i - 1].e)), {names}[x.k]))"
-    masked = f"if(size(apart) = 0, text, concat(array_join({pieces}, ''), substring(t, element_at(apart, -1).e + 1)))"
+    masked = f"if(size(apart) = 0, __row.text, concat(array_join({pieces}, ''), substring(t, element_at(apart, -1).e + 1)))"
     done = ordered.withColumn("apart", F.expr(apart)).withColumn("masked", F.expr(masked))
-    return done.select(*(F.col("masked").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
+    return done.select(*(F.col("masked").alias("text") if c == "text" else F.col("__row").getField(c).alias(c) for c in docs.columns))
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

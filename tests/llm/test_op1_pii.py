@@ -1,8 +1,10 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 from helpers import documents, prose, save
+from pyspark.sql import functions as F
 
 from millrace.llm import pii
 
@@ -95,6 +97,78 @@ def test_rare_contexts_count_beside_many_seeds(spark):
     assert found[3000].spans == "email:15:41" and sum(r.n_added for r in found.values()) == 1
 
 
+def brute_added(texts):
+    """Bootstrapping in plain Python: the added (start, kind, end) of each text."""
+    candidate = re.compile(r"(?<!\S)(?=\S*(?:[0-9@]|[(\[]at[)\]]))\S++(?: [0-9()][0-9()-]++)*+")
+
+    def context(text, s):
+        line = text[:s].split("\n")[-1]
+        return tuple(re.split(" +", "^ " + line.lower())[-3:-1]) if s and text[s - 1] == " " and line.strip(" ") else None
+
+    seeds, cands, follows = {}, [], Counter()
+    for text in texts:
+        text = text or ""
+        spans = base(text)
+        for s, k, e in spans:
+            if c := context(text, s):
+                seeds.setdefault((k, c), Counter())[text[s:e]] += 1
+        own = []
+        for m in candidate.finditer(text):
+            v = m.group().rstrip(".,;:!?)'\"*#$%&|")
+            s, e = m.start(), m.start() + len(v)
+            if len(v) >= pii.LEAST_SIGNS and not any(a < e and s < b for a, _, b in spans) and (c := context(text, s)):
+                own.append((s, e, v, c))
+        cands.append(own)
+        for line in filter(None, text.lower().split("\n")):
+            w = re.split(" +", "^ " + line)
+            follows.update(zip(w, w[1:-1], strict=False))
+    patterns = {p: sum(v.values()) for p, v in seeds.items() if len(v) >= pii.MIN_SEEDS}
+    edges = Counter((k, c, v) for own in cands for _, _, v, c in own for k in range(4) if (k, c) in patterns)
+    sure = {p: n / follows[p[1]] for p, n in patterns.items()}
+    for _ in range(pii.ROUNDS):
+        score = {}
+        for k, c, v in edges:
+            score[k, v] = score.get((k, v), 1.0) * max(1 - sure[k, c], 1e-9)
+        more = Counter()
+        for (k, c, v), m in edges.items():
+            more[k, c] += m * (1 - score[k, v])
+        sure = {p: min(1.0, (n + more[p]) / follows[p[1]]) for p, n in patterns.items()}
+    return [sorted({(s, k, e) for s, e, _, c in own for k in range(4) if sure.get((k, c), 0) >= pii.CONFIDENT}) for own in cands]
+
+
+def test_added_spans_equal_brute_force(spark):
+    rng = random.Random(51)
+    texts = [None, ""]
+    places = ["write to", "host is", "call me", "x" * 100 + " at", "x" * 90 + " " + "y" * 95]
+    for i in range(90):
+        k = rng.randrange(5)
+        seed = (f"p{i}@m{i}.example.com", f"10.1.{i}.7", f"+1 555 010 {1000 + i}")[k % 3 if rng.random() < 0.95 else rng.randrange(3)]
+        hidden = rng.choice((f"q{i % 7}(at)m.example.com", f"555-01{i}-2233", "nothing here", f"id{i}x99"))
+        texts.append(f"{prose(rng, 5)} {places[k]} {seed if rng.random() < 0.75 else hidden} {prose(rng, 3)}\nsee also {hidden} 12 34")
+    found = {r.doc_id: r for r in pii.report(documents(spark, list(enumerate(texts)))).collect()}
+    added = brute_added(texts)
+    assert sum(map(len, added)) > 5
+    for i, text in enumerate(texts):
+        assert found[i].n_added == len(added[i])
+        assert found[i].spans == written_out(sorted([*base(text or ""), *added[i]]))
+
+
+def test_long_words_before_an_identifier_keep_their_context(spark):
+    far = "https://" + "a" * 90 + " address"
+    rows = [(i, f"{far} user{i}@mail.example.com") for i in range(4)] + [(9, f"{far} other(at)mail.example.com")]
+    found = {r.doc_id: r for r in pii.report(documents(spark, rows)).collect()}
+    assert found[9].spans == f"email:{len(far) + 1}:{len(far) + 26}"
+
+
+def test_mask_keeps_columns_whose_names_clash(spark):
+    names = ["email", "ip", "card", "phone", "t", "spans", "apart", "masked", "added", "key", "my col"]
+    docs = documents(spark, [(1, "mail a.b@c.de")])
+    for k, name in enumerate(names):
+        docs = docs.withColumn(name, F.lit(k))
+    row = pii.mask(docs).first()
+    assert row.text == "mail [EMAIL]" and [row[n] for n in names] == list(range(len(names)))
+
+
 def test_mask_keeps_columns_and_other_text(spark):
     docs = documents(spark, [(1, "mail a.b@c.de or 10.0.0.1 ok"), (2, None), (3, ""), (4, "nothing"), (1, "mail a.b@c.de or 10.0.0.1 ok")]).withColumnRenamed("source", "key")
     out = pii.mask(docs)
