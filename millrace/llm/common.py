@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: Rows that one Arrow batch holds when Python sees whole texts; keeps a batch of long texts small.
 TEXT_BATCH_ROWS = 256
@@ -20,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a session in one machine may leave it unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         found = "file://" + tempfile.mkdtemp(prefix="shared-")
@@ -55,15 +58,15 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
 
 
-def map_rows(df: DataFrame, schema: str, row: Callable[[], Callable[[Iterable[tuple]], Iterator[tuple]]]) -> DataFrame:
+def map_rows(df: DataFrame, schema: str | StructType, row: Callable[[], Callable[[Iterable[tuple]], Iterator[tuple]]]) -> DataFrame:
     """Apply a generator over tuples to each partition through Arrow batches.
 
     ``row()`` is called once per partition on the executor and gives the generator function, so models load there.
     """
-    from pyspark.sql.types import _parse_datatype_string  # noqa: PLC2701
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(schema)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = row()

@@ -1,30 +1,36 @@
 """Benchmark decontamination by a generalised suffix automaton.
 
-The test items (a table of fixed, checked size) are normalised to words and put into one generalised suffix
-automaton that every executor gets once. Training documents stream through it: after each word the automaton
-holds the longest suffix of the document that is a substring of some item, so a match of ``window`` words is seen
-when its last word is read. One pass, constant memory beside the automaton, no shuffle at all.
+The test items are normalised to words and put into a generalised suffix automaton that every executor gets once.
+Training documents stream through it: after each word the automaton holds the longest suffix of the document that is a
+substring of some item, so a match of ``window`` words is seen when its last word is read. One pass, constant memory
+beside the automaton, no shuffle at all. A benchmark of more than ``PART_WORDS`` words is dealt over several automata,
+one pass each, whose hits are united; the result is the same.
 
 Defined results: null or empty texts have no words and no hits; an item without words is ignored; an item of
 fewer than ``window`` words is one window; repeated documents are judged each; several items with one id count
-once; items without an id mark words as hit but are not counted.
+once; items without an id mark words as hit but are not counted; an empty benchmark hits nothing and an empty table
+gives no rows; texts of any length are read whole; other columns than doc_id and text are not read and come through
+``decontaminate`` unchanged, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import re
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import map_rows, small_batches, table
+from .common import map_rows, small_batches, table, written
 
 WINDOW = 8
-#: Bounds of the broadcast automaton, which has at most two states for each word of the items.
-MAX_ITEMS, MAX_WORDS = 200_000, 2_000_000
+#: Words of the items in one broadcast automaton, which has at most two states for each (some 50 MB for 100,000 words).
+PART_WORDS = 200_000
 #: Documents whose share of hit words exceeds this are dropped by the pipeline stage even with one item.
 MAX_COVERAGE = 0.5
 
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -148,36 +154,85 @@ class SuffixAutomaton:
         return [tuple(r) for r in runs], found
 
 
-def benchmark_items(benchmark: DataFrame, max_items: int = MAX_ITEMS, max_words: int = MAX_WORDS) -> list[tuple[str | None, list[bytes]]]:
-    """The items' words, on the driver; their number and length are checked first, since the automaton is broadcast."""
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("raw"))
-    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("raw")), F.lit(0))).first()
-    if n > max_items or size > 8 * max_words:
-        raise ValueError(f"more than {max_items} benchmark items or about {max_words} words; split the benchmark and scan once per part")
-    found = rows.collect()
-    return [(r.item, words_of(bytes(r.raw) if r.raw is not None else None)) for r in found]
+def item_parts(benchmark: DataFrame, window: int = WINDOW, most: int = PART_WORDS) -> Iterator[list[tuple[str | None, list[bytes]]]]:
+    """The items' words in parts of ``most`` words at most, read one by one on the driver.
 
-
-def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items (sorted ids) and runs (hit word runs) of every document."""
+    A longer item is cut into pieces that overlap by a window less one word, so that each window lies in one piece.
+    """
+    part: list[tuple[str | None, list[bytes]]] = []
+    size = 0
+    for r in benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("raw")).toLocalIterator():
+        words = words_of(bytes(r.raw) if r.raw is not None else None)
+        for at in range(0, max(1, len(words) - window + 1), most):
+            piece = words[at : at + most + window - 1]
+            if part and size + len(piece) > most:
+                yield part
+                part, size = [], 0
+            part.append((r.item, piece))
+            size += len(piece)
+    if part:
+        yield part
+
+
+def joined(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted runs, merged where they overlap or touch."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(runs):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
+def through(docs: DataFrame, benchmark: DataFrame, window: int, schema: str | StructType, emit: Callable[[dict, bytes | None, list[bytes], list[tuple[int, int]], set], Iterator[tuple]]) -> DataFrame:
+    """What ``emit`` gives for each document from its row, bytes, words, hit runs and names of hit items.
+
+    A benchmark of up to ``PART_WORDS`` words is one automaton and one pass. A larger one is a pass for each part over
+    the written documents with what was hit so far, so that no worker holds more than one part.
+    """
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(SuffixAutomaton(benchmark_items(benchmark), window))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text").cast("binary").alias("raw"), F.lit(None).cast("array<struct<start:int,end:int>>").alias("runs"), F.lit(None).cast("array<string>").alias("names"), F.lit(False).alias("unnamed"))
+    parts = item_parts(benchmark, window)
+    part = next(parts, [])
+    while True:
+        after = next(parts, None)
+        shared = spark.sparkContext.broadcast(SuffixAutomaton(part, window))
+
+        def load(shared=shared, last=after is None):
+            automaton = shared.value
+
+            def step(source: Iterable[tuple]) -> Iterator[tuple]:
+                for row, raw, before, names, unnamed in source:
+                    words = words_of(raw)
+                    runs, found = automaton.scan(words)
+                    if before:
+                        runs = joined([*runs, *((x["start"], x["end"]) for x in before)])
+                    found = found | set(names or ()) | ({None} if unnamed else set())
+                    if last:
+                        yield from emit(row, raw, words, runs, found)
+                    else:
+                        yield row, raw, [{"start": a, "end": b} for a, b in runs], sorted(found - {None}), None in found
+
+            return step
+
+        if after is None:
+            return map_rows(rows, schema, load)
+        rows = written(map_rows(rows, rows.schema, load), "benchmark-part")
+        part = after
 
-    def load():
-        automaton = shared.value
 
-        def step(rows: Iterable[tuple]) -> Iterator[tuple]:
-            for doc_id, raw in rows:
-                words = words_of(raw)
-                runs, found = automaton.scan(words)
-                names = sorted(x for x in found if x is not None)
-                yield doc_id, len(words), sum(b - a for a, b in runs), len(names), names, [{"start": a, "end": b} for a, b in runs]
+def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items (sorted ids) and runs (hit word runs) of every document."""
 
-        return step
+    def emit(row: dict, raw: bytes | None, words: list[bytes], runs: list[tuple[int, int]], found: set) -> Iterator[tuple]:
+        names = sorted(found - {None})
+        yield row["doc_id"], len(words), sum(b - a for a, b in runs), len(names), names, [{"start": a, "end": b} for a, b in runs]
 
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("raw"))
-    return map_rows(rows, "doc_id long, n_words long, n_hit long, n_items long, items array<string>, runs array<struct<start:int,end:int>>", load)
+    schema = "doc_id long, n_words long, n_hit long, n_items long, items array<string>, runs array<struct<start:int,end:int>>"
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    return through(rows, benchmark, window, schema, emit)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_items: int = 2, max_coverage: float = MAX_COVERAGE) -> DataFrame:
@@ -186,41 +241,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     A document with windows of ``min_items`` items, or with more than ``max_coverage`` of its words hit, goes. In the
     others each run of hit words is cut from the text, from the run's first to its last byte.
     """
-    import re
-
-    spark = docs.sparkSession
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast(SuffixAutomaton(benchmark_items(benchmark), window))
-    schema = docs.schema
-    at = [f.name for f in schema].index("text")
     word = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-    lower = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-
-    def load():
-        automaton = shared.value
-
-        def step(rows: Iterable[tuple]) -> Iterator[tuple]:
-            for row in rows:
-                text = row[at]
-                raw = text.encode() if text is not None else b""
-                words = words_of(raw)
-                runs, found = automaton.scan(words)
-                if not runs:
-                    yield row
-                    continue
-                if len(found - {None}) >= min_items or sum(b - a for a, b in runs) > max_coverage * len(words):
-                    continue
-                places = [m.span() for m in word.finditer(raw.translate(lower))]
-                kept, last = [], 0
-                for a, b in runs:
-                    kept.append(raw[last : places[a][0]])
-                    last = places[b - 1][1]
-                kept.append(raw[last:])
-                yield (*row[:at], b"".join(kept).decode("utf-8", "replace"), *row[at + 1 :])
-
-        return step
-
-    return map_rows(docs, schema.simpleString()[7:-1], load)
+    columns = docs.columns
+
+    def emit(row: dict, raw: bytes | None, words: list[bytes], runs: list[tuple[int, int]], found: set) -> Iterator[tuple]:
+        if runs:
+            if len(found - {None}) >= min_items or sum(b - a for a, b in runs) > max_coverage * len(words):
+                return
+            places = [m.span() for m in word.finditer(raw.translate(_LOWER))]
+            kept, last = [], 0
+            for a, b in runs:
+                kept.append(raw[last : places[a][0]])
+                last = places[b - 1][1]
+            row = row | {"text": b"".join([*kept, raw[last:]]).decode("utf-8", "replace")}
+        yield tuple(row[c] for c in columns)
+
+    return through(docs, benchmark, window, docs.schema, emit)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,8 @@ import random
 import re
 
 import duckdb
-import pytest
 from helpers import documents, prose, save
+from pyspark.sql import functions as F
 
 from millrace.llm import decontam
 
@@ -89,8 +89,22 @@ def test_empty_tables(spark):
     assert (row.n_words, row.n_hit, row.n_items) == (10, 0, 0)
 
 
-def test_too_large_a_benchmark_is_refused(spark):
-    items = spark.createDataFrame([(1, "a b c d"), (2, "e f")], "item_id long, text string")
-    for bounds in ({"max_items": 1}, {"max_words": 0}):
-        with pytest.raises(ValueError, match="split the benchmark"):
-            decontam.benchmark_items(items, **bounds)
+def test_large_benchmarks_go_in_parts(spark, monkeypatch):
+    docs, items = tables(spark)
+    items = spark.createDataFrame([*items, (77, " ".join(f"long{i}" for i in range(300)))], "item_id long, text string")
+    docs = documents(spark, [*docs, (9000, " ".join(f"long{i}" for i in range(5, 290))), (9001, "x " + " ".join(f"long{i}" for i in range(37, 46)))])
+    whole = sorted(map(tuple, decontam.scan_documents(docs, items).collect()), key=str)
+    cut = sorted((r.doc_id, r.text) for r in decontam.decontaminate(docs, items).collect() if r.text and r.doc_id is not None)
+    monkeypatch.setattr(decontam.item_parts, "__defaults__", (decontam.WINDOW, 40))
+    assert len(list(decontam.item_parts(items))) > 3
+    assert sorted(map(tuple, decontam.scan_documents(docs, items).collect()), key=str) == whole
+    assert sorted((r.doc_id, r.text) for r in decontam.decontaminate(docs, items).collect() if r.text and r.doc_id is not None) == cut
+
+
+def test_columns_of_any_name_and_long_texts(spark):
+    items = spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id long, text string")
+    long = "word " * 200_000
+    docs = documents(spark, [(1, long + "a b c d e f g h " + long), (2, "clean text")]).withColumns({"my col": F.lit("m"), "raw": F.lit(1), "row": F.array(F.lit(2)), "runs": F.lit(3)})
+    out = {r.doc_id: r for r in decontam.decontaminate(docs, items).collect()}
+    assert len(out[1].text) == len(long) * 2 + 1 and out[2].text == "clean text"
+    assert all((r["my col"], r.raw, r["row"], r.runs) == ("m", 1, [2], 3) for r in out.values())
