@@ -29,10 +29,10 @@ def test_held_out_paragraphs():
 def brute(text):
     model = licence.train()
     found = {}
-    for line in (text or "").split("\n"):
-        family, p, _ = model.judge(line.lower())
+    for paragraph in licence.paragraphs((text or "").lower()):
+        family, p, _ = model.judge(paragraph)
         if family != licence.UNKNOWN:
-            found[family] = min(p, found.get(family, 1.0))
+            found[family] = max(p, found.get(family, 0.0))
     return sorted(found), min(found.values(), default=None)
 
 
@@ -51,6 +51,40 @@ def test_query_equals_brute_force(spark, tmp_path):
     assert all(a is b or abs(a - b) < 2e-6 for (*_, a), (*_, b) in zip(found, expected, strict=True))
 
 
+NOTICES = {
+    "mit": "MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights",
+    "gpl": "    This program is free software: you can redistribute it and/or modify\n    it under the terms of the GNU General Public License as published by\n    the Free Software Foundation, either version 3 of the License, or\n    (at your option) any later version.",
+    "bsd": "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met:",
+    "apache-2.0": " * Licensed under the Apache License, Version 2.0 (the \"License\");\n * you may not use this file except in compliance with the License.\n * You may obtain a copy of the License at",
+    "agpl": "it under the terms of the GNU Affero General Public License as published\nby the Free Software Foundation, either version 3 of the License",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.",
+}
+
+
+def test_wrapped_notices_have_their_family_alone(spark):
+    rng = random.Random(9)
+    rows = [(i, f"{prose(rng, 30)}\n\n{t}\n\n{prose(rng, 30)}") for i, t in enumerate(NOTICES.values())]
+    found = {r.doc_id: r.licences for r in licence.scan(documents(spark, rows)).collect()}
+    assert found == dict(enumerate(NOTICES))
+
+
+def test_other_licences_are_unknown_or_their_own():
+    model = licence.train()
+    assert [model.judge(t)[0] for t in ("SPDX-License-Identifier: ISC", "Licensed under the Boost Software License 1.0", "Licensed under the GNU Affero General Public License")] == ["isc", "bsl-1.0", "agpl"]
+    others = ["European Union Public Licence 1.2", "Artistic License 2.0", "Microsoft Public License", "Common Development and Distribution License 1.0", "zlib License", "Academic Free License 3.0", "SIL Open Font License 1.1", "Open Software License 3.0"]
+    for name in others:
+        for t in ("Licensed under the {}.", "Released under the {}", "This program is licensed under the terms of the {}."):
+            assert model.judge(t.format(name))[0] == licence.UNKNOWN, t.format(name)
+    for tag in ("Zlib", "EUPL-1.2", "Artistic-2.0", "CDDL-1.0", "OFL-1.1"):
+        assert model.judge(f"SPDX-License-Identifier: {tag}")[0] == licence.UNKNOWN
+
+
+def test_very_long_and_repeated_texts(spark):
+    long = "\n".join(["plain words here"] * 50_000 + ["Released under the MIT License."])
+    found = sorted((r.doc_id, r.licences) for r in licence.scan(documents(spark, [(1, long), (1, long), (2, long.replace("\n", " "))])).collect())
+    assert found[:2] == [(1, "mit"), (1, "mit")] and found[2][1] in ("", "mit")
+
+
 def test_empty_table_and_no_python(spark):
     out = licence.scan(documents(spark, []))
     assert out.count() == 0
