@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from functools import reduce
+from operator import and_, or_
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -32,6 +34,15 @@ def trigram_scores(postings: DataFrame, query: str, key: str = "chunk_id") -> Da
     return hit.select(key, F.round(F.col("both") / (F.col("n") + size - F.col("both")), 6).alias("trigram"))
 
 
+def trigram_scan(chunks: DataFrame, query: str, key: str = "chunk_id", text: str = "content") -> DataFrame:
+    """key, trigram as by ``trigram_scores``, for texts without an index: one pass over the rows, nothing exploded or shuffled."""
+    own = chunks.sparkSession.range(1).select(trigrams(F.lit(query)).alias("grams")).first().grams
+    grams = chunks.select(key, trigrams(F.col(text)).alias("grams"))
+    both = F.size(F.array_intersect("grams", F.array(*map(F.lit, own)).cast("array<string>")))
+    hit = grams.select(key, F.size("grams").alias("n"), both.alias("both")).where("both > 0")
+    return hit.select(key, F.round(F.col("both") / (F.col("n") + len(own) - F.col("both")), 6).alias("trigram"))
+
+
 def parse_query(query: str) -> list[list[tuple[bool, list[str]]]]:
     """Web-search syntax: alternatives of (negated, phrase lexemes); ``or`` splits, ``-`` negates, quotes make phrases."""
     groups: list[list[tuple[bool, list[str]]]] = [[]]
@@ -81,8 +92,13 @@ def fts_score(own: dict[str, list[int]], query: list[list[tuple[bool, list[str]]
     return matched, rank
 
 
+def surely_in(lexeme: str) -> str:
+    """A string that is in every word of the stem: stemming changes the last sign or the last two, the rest is kept."""
+    return lexeme[: max(1, len(lexeme) - (2 if lexeme.endswith("ie") else 1))] if len(lexeme) > 2 else lexeme[:1]
+
+
 def fts_scores(chunks: DataFrame, query: str, key: str = "chunk_id", text: str = "content") -> DataFrame:
-    """key, fts (rank) of the chunks that match the query."""
+    """key, fts (rank) of the chunks that match the query, from their texts."""
     parsed = parse_query(query)
     plain = [sorted({x for negated, lexemes in g if not negated for x in lexemes}) for g in parsed]
 
@@ -92,16 +108,47 @@ def fts_scores(chunks: DataFrame, query: str, key: str = "chunk_id", text: str =
             yield pd.DataFrame([(k, round(r, 6)) for k, m, r in found if m], columns=[key, "fts"])
 
     rows = chunks.select(key, text)
-    if plain and all(plain):  # a stem's first three signs stand in each of its words, so most chunks never reach Python
-        rows = rows.where(" OR ".join("(" + " AND ".join(f"contains(lower({text}), '{x[:3]}')" for x in g) + ")" for g in plain))
+    if plain and all(plain):  # most chunks never reach Python
+        low = F.lower(F.col(text))
+        rows = rows.where(reduce(or_, (reduce(and_, (low.contains(surely_in(x)) for x in g)) for g in plain)))
     return rows.mapInPandas(run, f"{key} {chunks.schema[key].dataType.simpleString()}, fts double")
 
 
-def search(chunks: DataFrame, postings: DataFrame, query: str, limit: int, threshold: float = TRIGRAM_THRESHOLD, key: str = "chunk_id", text: str = "content", fts: bool = True) -> DataFrame:
-    """key, fts, trigram, similarity: candidates match or are similar; the limit comes before the second filter, as in the contract."""
-    grams = trigram_scores(postings, query, key)
+def stem_postings(chunks: DataFrame, key: str = "chunk_id", text: str = "content") -> DataFrame:
+    """The full-text index: (lexeme, key, places). Write it once, query it often; texts are stemmed here and never again."""
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(x, k, at) for k, t in zip(frame[key], frame[text], strict=True) for x, at in positions(t).items()]
+            yield pd.DataFrame(rows, columns=["lexeme", key, "places"])
+
+    return chunks.select(key, text).mapInPandas(run, f"lexeme string, {key} {chunks.schema[key].dataType.simpleString()}, places array<int>")
+
+
+def fts_scores_indexed(postings: DataFrame, query: str, key: str = "chunk_id") -> DataFrame:
+    """key, fts (rank) of the chunks that match the query, by the index. Each alternative needs a word that is not negated."""
+    parsed = parse_query(query)
+    if not all(any(not negated for negated, _ in g) for g in parsed):
+        raise ValueError("an alternative of negated words alone matches chunks that the index does not list; use fts_scores")
+    wanted = sorted({x for g in parsed for _, lexemes in g for x in lexemes})
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = [(k, *fts_score({x["lexeme"]: list(x["places"]) for x in own}, parsed)) for k, own in zip(frame[key], frame["own"], strict=True)]
+            yield pd.DataFrame([(k, round(r, 6)) for k, m, r in found if m], columns=[key, "fts"])
+
+    hit = postings.where(F.col("lexeme").isin(wanted)).groupBy(key).agg(F.collect_list(F.struct("lexeme", "places")).alias("own"))  # at most the query's lexemes
+    return hit.mapInPandas(run, f"{key} {postings.schema[key].dataType.simpleString()}, fts double")
+
+
+def search(chunks: DataFrame, postings: DataFrame | None, query: str, limit: int, threshold: float = TRIGRAM_THRESHOLD, key: str = "chunk_id", text: str = "content", fts: bool = True, stems: DataFrame | None = None) -> DataFrame:
+    """key, fts, trigram, similarity: candidates match or are similar; the limit comes before the second filter, as in the contract.
+
+    ``postings`` and ``stems`` are the stored trigram and full-text indexes; without them the texts are read.
+    """
+    grams = trigram_scan(chunks, query, key, text) if postings is None else trigram_scores(postings, query, key)
     if fts:
-        both = grams.join(fts_scores(chunks, query, key, text), key, "full_outer").fillna(0.0, ["trigram"])
+        both = grams.join(fts_scores(chunks, query, key, text) if stems is None else fts_scores_indexed(stems, query, key), key, "full_outer").fillna(0.0, ["trigram"])
         rows = both.withColumn("is_match", F.col("fts").isNotNull()).fillna(0.0, ["fts"])
     else:
         rows = grams.withColumns({"fts": F.lit(0.0), "is_match": F.lit(False)})

@@ -23,11 +23,12 @@ from .models import embed_text, rank_by_overlap, rewrite_words, with_deadline, w
 
 @dataclass
 class Corpus:
-    """chunks: chunk_id, doc_id, content, anchor, embedding; documents: doc_id, url, title; postings: the trigram index."""
+    """chunks: chunk_id, doc_id, content, anchor, embedding; documents: doc_id, url, title; postings and stems: the stored trigram and full-text indexes (texts are read where there is none)."""
 
     chunks: DataFrame
     documents: DataFrame
-    postings: DataFrame
+    postings: DataFrame | None = None
+    stems: DataFrame | None = None
 
 
 def decide_rewrite(corpus: Corpus, query: str, config: Retrieval, model: Callable[[str], str] = rewrite_words) -> tuple[str | None, str]:
@@ -58,8 +59,11 @@ def retrieve(corpus: Corpus, query: str, config: Retrieval, embed: Callable[[str
     texts = {"original": query} | ({"rewritten": new} if new else {})
     parts = {f"vector_{name}": _vector(corpus, text, each if config.hybrid or new else keep, config, embed) for name, text in texts.items()}
     if config.hybrid:
-        parts |= {f"lexical_{name}": lexical.search(corpus.chunks, corpus.postings, text, each, config.trigram_threshold).select("chunk_id", "similarity") for name, text in texts.items()}
-    ranked = {name: fusion.ranked(part).select("chunk_id", "similarity", "rank") for name, part in parts.items()}
+        parts |= {f"lexical_{name}": lexical.search(corpus.chunks, corpus.postings, text, each, config.trigram_threshold, stems=corpus.stems).select("chunk_id", "similarity") for name, text in texts.items()}
+    # each branch runs once: its few rows (the branch limit) go on as a local table
+    tops = {name: fusion.ranked(part).select("chunk_id", "similarity", "rank") for name, part in parts.items()}
+    found = {name: part.collect() for name, part in tops.items()}
+    ranked = {name: corpus.chunks.sparkSession.createDataFrame(found[name], tops[name].schema) for name in tops}
     if config.hybrid:
         union = reduce(DataFrame.unionByName, (part.withColumn("source", F.lit(name)) for name, part in ranked.items()))
         fused = fusion.fuse(union, keep).select("chunk_id", F.col("score").alias("similarity"), "matched", "position")
@@ -72,7 +76,7 @@ def retrieve(corpus: Corpus, query: str, config: Retrieval, embed: Callable[[str
     payload = corpus.chunks.select("chunk_id", "doc_id", "content", "anchor").join(F.broadcast(fused), "chunk_id").join(corpus.documents.select("doc_id", "url", "title"), "doc_id")
     rows = [r.asDict() for r in payload.withColumn("url", anchor_url(F.col("url"), F.col("anchor"))).orderBy("position").collect()]
     done = rerank.rerank(query, rows, config, reranker)
-    counts = {name: part.count() for name, part in ranked.items()}
+    counts = {name: len(rows) for name, rows in found.items()}
     debug = {
         "originalQuery": query, "rewrittenQuery": new, "rewriteApplied": new is not None, "rewriteReason": reason, "branchCounts": counts, "fusedCount": len(rows),
         "reranking": {"status": done.status, "applied": done.applied, "beforeIds": done.before_ids, "afterIds": [c["chunk_id"] for c in done.candidates], "fallbackReason": done.fallback_reason, "diagnostics": done.diagnostics},

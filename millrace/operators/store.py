@@ -111,3 +111,20 @@ def replace_partitions(rows: DataFrame, path: str, column: str, values: list) ->
 
 def exists(spark, name: str) -> bool:
     return spark.catalog.tableExists(name)
+
+
+def chunk_listing(chunks: DataFrame, documents: DataFrame, url: str | None = None, limit: int = 20) -> DataFrame:
+    """Chunks with their documents for inspection, the last crawled first; of one address only, where it is given.
+
+    Fields of the metadata (a JSON text) count only where they are strings.
+    """
+    own = documents.select("doc_id", "url", "title", "last_crawled_at").where(F.col("url") == url if url else F.lit(True))
+
+    def field(path: str) -> Column:
+        value = F.variant_get("__meta", path, "variant")
+        return F.when(F.schema_of_variant(value) == "STRING", F.variant_get("__meta", path, "string"))
+
+    rows = chunks.withColumn("__meta", F.try_parse_json("metadata")).join(own, "doc_id")
+    names = {"content_kind": "$.content_kind", "enrichment_status": "$.enrichment.status", "embedding_input_version": "$.embedding_input_version", "embedding_input_preview": "$.embedding_input_preview"}
+    rows = rows.select("url", "title", "anchor", "chunk_index", *(field(path).alias(name) for name, path in names.items()), "last_crawled_at")
+    return rows.orderBy(F.desc_nulls_first("last_crawled_at"), "chunk_index", "url").limit(limit).drop("last_crawled_at")

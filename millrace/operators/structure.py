@@ -39,18 +39,36 @@ class Node:
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
 
     def text(self) -> str:
-        return "".join(c if isinstance(c, str) else c.text() for c in self.children)
+        out, left = [], [self]
+        while left:
+            node = left.pop()
+            if isinstance(node, str):
+                out.append(node)
+            else:
+                left.extend(reversed(node.children))
+        return "".join(out)
 
     def nodes(self) -> Iterator[Node]:
-        for c in self.children:
-            if not isinstance(c, str):
-                yield c
-                yield from c.nodes()
+        """The nodes below, in page order."""
+        left = [c for c in reversed(self.children) if not isinstance(c, str)]
+        while left:
+            node = left.pop()
+            yield node
+            left.extend(c for c in reversed(node.children) if not isinstance(c, str))
 
     def markup(self) -> str:
-        attrs = "".join(f' {k}="{v}"' for k, v in self.attrs.items())
-        inner = "".join(c.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;") if isinstance(c, str) else c.markup() for c in self.children)
-        return f"<{self.tag}{attrs}>" if self.tag in VOID else f"<{self.tag}{attrs}>{inner}</{self.tag}>"
+        out: list[str] = []
+        left: list[tuple[bool, Node | str]] = [(False, self)]
+        while left:
+            done, node = left.pop()
+            if isinstance(node, str):
+                out.append(node if done else node.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;"))
+                continue
+            out.append(f"<{node.tag}{''.join(f' {k}=\"{v}\"' for k, v in node.attrs.items())}>")
+            if node.tag not in VOID:
+                left.append((True, f"</{node.tag}>"))
+                left.extend((False, c) for c in reversed(node.children))
+        return "".join(out)
 
 
 class Builder(HTMLParser):
@@ -117,11 +135,12 @@ def _classes(node: Node) -> list[str]:
     return node.attrs.get("class", "").split()
 
 
-def _prune(node: Node) -> None:
-    node.children = [c for c in node.children if isinstance(c, str) or c.tag not in BOILERPLATE_TAGS and BOILERPLATE_CLASSES.isdisjoint(_classes(c))]
-    for c in node.children:
-        if not isinstance(c, str):
-            _prune(c)
+def _prune(root: Node) -> None:
+    left = [root]
+    while left:
+        node = left.pop()
+        node.children = [c for c in node.children if isinstance(c, str) or c.tag not in BOILERPLATE_TAGS and BOILERPLATE_CLASSES.isdisjoint(_classes(c))]
+        left.extend(c for c in node.children if not isinstance(c, str))
 
 
 def _main(root: Node) -> Node | None:
@@ -159,7 +178,16 @@ class Walk:
         row = {"order": len(self.out), "type": kind, "text": text, "anchor": anchor, "heading_path": [self.title, *(h or "" for h in self.stack)], "primary_heading": head or self.title, "dom_path": _dom_path(node)}
         self.out.append(row | {"level": None, "list_kind": None, "items": None, "code_language": None, "html": None, "rows": None} | more)
 
-    def visit(self, node: Node) -> None:
+    def visit(self, root: Node) -> None:
+        left = [root]
+        while left:
+            node = left.pop()
+            if node.tag in WALKED:
+                left.extend(c for c in reversed(node.children) if not isinstance(c, str))
+            else:
+                self.element(node)
+
+    def element(self, node: Node) -> None:
         tag = node.tag
         own = node.attrs.get("id") or self.anchor
         if tag in HEADINGS:
@@ -185,10 +213,6 @@ class Walk:
         elif tag == "blockquote":
             if text := squash(node.text()):
                 self.add(node, "blockquote", text, own)
-        elif tag in WALKED:
-            for c in node.children:
-                if not isinstance(c, str):
-                    self.visit(c)
 
 
 def numbered(items: list[str]) -> str:
@@ -229,14 +253,16 @@ def split_text(text: str, boundaries: tuple[str, ...], limit: int = LIMIT) -> li
 
 def split_rows(rows: list[list[str]], limit: int = LIMIT) -> list[list[list[str]]]:
     """Row groups that fit, each with the first row as its header."""
-    if len(table_text(rows)) <= limit:
+    sizes = [len(" | ".join(r)) for r in rows]
+    if sum(sizes) + len(rows) - 1 <= limit:
         return [rows]
-    head, groups, own = rows[0], [], [rows[0]]
-    for row in rows[1:]:
-        if len(own) > 1 and len(table_text([*own, row])) > limit:
+    head, groups, own, size = rows[0], [], [rows[0]], sizes[0]
+    for row, n in zip(rows[1:], sizes[1:], strict=True):
+        if len(own) > 1 and size + 1 + n > limit:
             groups.append(own)
-            own = [head]
-        own = [*own, row]
+            own, size = [head], sizes[0]
+        own.append(row)
+        size += 1 + n
     return [*groups, own]
 
 

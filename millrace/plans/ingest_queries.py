@@ -244,6 +244,23 @@ def debug_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").orderBy(F.desc_nulls_first("ts"), "event_id").limit(20).select("event_id", "user_id", "event_type")
 
 
+_META = """'{"content_kind":' || CASE doc_id % 3 WHEN 0 THEN '7' WHEN 1 THEN '"prose"' ELSE 'null' END || ',"enrichment":' || CASE doc_id % 2 WHEN 0 THEN '{"status":"success"}' ELSE '"none"' END || ',"embedding_input_preview":"' || lang || '"}'"""
+
+
+@query(
+    f"""WITH chunk AS (SELECT doc_id, CAST(doc_id % 7 AS INT) AS chunk_index, lang AS anchor, {_META} AS m FROM documents),
+page AS (SELECT vec_id AS doc_id, 'https://docs.example.com/' || label AS url, 'Cell ' || label AS title, label AS last_crawled_at FROM embeddings)
+SELECT url, title, anchor, chunk_index, CASE WHEN json_type(m, '$.content_kind') = 'VARCHAR' THEN json_extract_string(m, '$.content_kind') END AS content_kind,
+       CASE WHEN json_type(m, '$.enrichment.status') = 'VARCHAR' THEN json_extract_string(m, '$.enrichment.status') END AS enrichment_status, CAST(NULL AS VARCHAR) AS embedding_input_version, json_extract_string(m, '$.embedding_input_preview') AS embedding_input_preview
+FROM chunk JOIN page USING (doc_id) WHERE url = 'https://docs.example.com/3' ORDER BY last_crawled_at DESC, chunk_index, url LIMIT 1000000"""
+)
+def chunk_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks with their documents, of one address."""
+    chunks = table(spark, sf_dir, "documents").select("doc_id", F.expr("cast(doc_id % 7 as int)").alias("chunk_index"), F.col("lang").alias("anchor"), F.expr(_META).alias("metadata"))
+    pages = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.concat(F.lit("https://docs.example.com/"), "label").alias("url"), F.concat(F.lit("Cell "), "label").alias("title"), F.col("label").alias("last_crawled_at"))
+    return store.chunk_listing(chunks, pages, "https://docs.example.com/3", 1_000_000)
+
+
 @query("SELECT doc_id, place, CAST(place // 50 AS INT) AS batch FROM (SELECT doc_id, CAST(unnest(range(CAST(ceil(length(coalesce(text, '')) / 100.0) AS BIGINT))) AS INT) AS place FROM documents)")
 def embed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fifty pieces of one document to an embedding call."""

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..config import Retrieval
 from ..functions import text as T
-from ..operators import fusion, lexical, rerank, vector, vector_index
-from ..operators.models import rank_by_overlap
-from .registry import Registry, table
+from ..operators import fusion, lexical, rerank, retrieve, vector, vector_index
+from ..operators.models import embed_text, rank_by_overlap
+from .registry import Registry, spread, table
 
 REGISTRY = Registry()
 query = REGISTRY
@@ -115,7 +115,7 @@ def branch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content")))
 
 
 _TRIGRAM_SQL = f"""
@@ -128,14 +128,14 @@ lex AS (SELECT chunk_id, round(common / (n + m - common), 6) AS trigram FROM sco
 
 @query(f"WITH {_TRIGRAM_SQL} SELECT chunk_id, trigram FROM lex ORDER BY trigram DESC, chunk_id LIMIT 10")
 def trigram_similarity_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = lexical.trigram_scores(lexical.trigram_postings(_chunks(spark, sf_dir)), _passage(spark, sf_dir, 0))
+    scores = lexical.trigram_scan(_chunks(spark, sf_dir), _passage(spark, sf_dir, 0))
     return scores.orderBy(F.desc("trigram"), "chunk_id").limit(10)
 
 
 @query(f"WITH {_TRIGRAM_SQL} SELECT chunk_id, 0.0::DOUBLE AS fts, trigram, round(0.3 * trigram, 6) AS similarity FROM lex WHERE trigram > 0.18 ORDER BY similarity DESC, chunk_id LIMIT 15")
 def lexical_score_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = _chunks(spark, sf_dir)
-    return lexical.search(chunks, lexical.trigram_postings(chunks), _passage(spark, sf_dir, 0), 15, fts=False)
+    return lexical.search(chunks, None, _passage(spark, sf_dir, 0), 15, fts=False)
 
 
 #: A query of words that need no stemming.
@@ -159,7 +159,7 @@ def fts_rank_cd(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = _chunks(spark, sf_dir)
-    return lexical.search(chunks, lexical.trigram_postings(chunks), _passage(spark, sf_dir, 2), 12)
+    return lexical.search(chunks, None, _passage(spark, sf_dir, 2), 12)
 
 
 @query(
@@ -176,7 +176,7 @@ SELECT chunk_id, round(score, 9) AS score, matched, best_source, CAST(position A
 )
 def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = _chunks(spark, sf_dir)
-    lex = lexical.search(chunks, lexical.trigram_postings(chunks), _passage(spark, sf_dir, 0), Retrieval(hybrid=True, limit=4).branch_limit(), fts=False).select("chunk_id", "similarity")
+    lex = lexical.search(chunks, None, _passage(spark, sf_dir, 0), Retrieval(hybrid=True, limit=4).branch_limit(), fts=False).select("chunk_id", "similarity")
     rows = _branches(spark, sf_dir).unionByName(fusion.ranked(lex).withColumn("source", F.lit("lexical_original")))
     return fusion.fuse(rows, 5).select("chunk_id", F.round("score", 9).alias("score"), F.array_join("matched", ",").alias("matched"), "best_source", "position")
 
@@ -197,11 +197,27 @@ def rerank_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rerank.reorder(cand, model.where("valid"), 5).withColumn("valid", F.lit(True)).select("query_id", "chunk_id", "similarity", "place", "valid")
 
 
+@query()
+def retrieve_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orchestrator in its three plans (one vector branch; original and rewritten; hybrid with reranking) for one passage."""
+    documents = table(spark, sf_dir, "documents")
+    chunks = _chunks(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"), "chunk_id")
+    chunks = chunks.select("chunk_id", F.col("chunk_id").alias("doc_id"), "content", F.lit(None).cast("string").alias("anchor"), "embedding")
+    corpus = retrieve.Corpus(chunks, documents.select("doc_id", F.concat(F.lit("https://docs.example.com/"), "doc_id").alias("url"), F.col("source").alias("title")))
+    passage = " ".join(_passage(spark, sf_dir, 2).split()[:12])
+    plans = {"vector": Retrieval(threshold=-1.0), "rewritten": Retrieval(threshold=-1.0, rewrite=True), "hybrid": Retrieval(threshold=-1.0, rewrite=True, hybrid=True, rerank=True)}
+    out = []
+    for name, config in plans.items():
+        rows, debug = retrieve.retrieve(corpus, passage, config, embed=lambda t: embed_text(t, 64))
+        out += [(name, i, r["url"], r["title"], float(r["similarity"]), ",".join(r["matched"]), debug["rewriteReason"], debug["reranking"]["status"]) for i, r in enumerate(rows)]
+    return spark.createDataFrame(out, "plan string, place int, url string, title string, similarity double, matched string, rewrite_reason string, rerank_status string")
+
+
 @query()
 def rerank_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each outcome of the contract over the candidates that lexical search finds for a passage."""
     chunks, passage = _chunks(spark, sf_dir), _passage(spark, sf_dir, 0)
-    found = lexical.search(chunks, lexical.trigram_postings(chunks), passage, 12, fts=False)
+    found = lexical.search(chunks, None, passage, 12, fts=False)
     rows = [r.asDict() for r in chunks.join(F.broadcast(found), "chunk_id").orderBy(F.desc("similarity"), "chunk_id").collect()]
     replies = {"applied": rank_by_overlap, "model_failed": lambda q, c: 1 / 0, "invalid": lambda q, c: '{"rankedIds": [1, 1]}', "no_json": lambda q, c: "sorry"}
     out = []

@@ -28,9 +28,18 @@ def bucket(buckets: int) -> Column:
     return F.pmod(F.xxhash64("url"), F.lit(buckets)).cast("int").alias("bucket")
 
 
+def one_per_url(pages: DataFrame) -> DataFrame:
+    """One page for each address: that of the greatest page_id, which came last; ties go to the greater markup."""
+    rest = [c for c in pages.columns if c != "url"]
+    lead = [c for c in ("page_id", "html") if c in rest]
+    last = pages.groupBy("url").agg(F.max(F.struct(*lead, *(c for c in rest if c not in lead))).alias("last"))
+    return last.select(*(F.col("url") if c == "url" else F.col("last").getField(c).alias(c) for c in pages.columns))
+
+
 def ingest_batch(pages: DataFrame, documents_path: str, chunks_path: str, buckets: int = BUCKETS) -> None:
     """One batch; replaying it changes nothing, since unchanged pages are left alone. Documents come last, so a batch that fails between the two is done again."""
     spark = pages.sparkSession
+    pages = one_per_url(pages)
     own = pages.withColumn("bucket", bucket(buckets))
     batch = sorted(r.bucket for r in own.select("bucket").distinct().collect())
     old = _read(spark, documents_path, f"{DOCUMENTS}, bucket int").where(F.col("bucket").isin(batch))

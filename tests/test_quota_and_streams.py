@@ -91,3 +91,12 @@ def test_stream_of_pages(spark, tmp_path):
     assert [c[1:] for c in chunks if c[0] == first[1][1]] == [(0, "New text"), (1, "x")] and len(chunks) == 5
     assert not [c for c in chunks if c[0] == first[2][1]]  # its text is gone, and so are its chunks
     assert docs["https://e.org/en/guide/1"].lang == "guide" and docs["https://e.org/de/x"].title == "Nine"
+
+
+def test_one_page_for_each_address_of_a_batch(spark, tmp_path):
+    rows = [(1, "https://e.org/en/a", "<article><p>old</p></article>"), (7, "https://e.org/en/a", "<article><p>new</p></article>"), (7, "https://e.org/en/a", None), (2, None, "<article><p>x</p></article>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert sorted(map(tuple, ingest.one_per_url(pages).collect()), key=str) == sorted([rows[1], rows[3]], key=str)
+    ingest.ingest_batch(pages.where("url IS NOT NULL"), f"{tmp_path}/docs", f"{tmp_path}/chunks")
+    chunks = spark.read.parquet(f"{tmp_path}/chunks").collect()
+    assert [(c.chunk_index, c.content.splitlines()[-1]) for c in chunks] == [(0, "new")] and spark.read.parquet(f"{tmp_path}/docs").count() == 1

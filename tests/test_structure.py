@@ -87,3 +87,12 @@ def test_tables_of_pages(spark):
 def test_same_content_same_hash():
     a, b = (parse_page(f"<title>{t}</title><article><p>x</p></article>")[1] for t in "ab")
     assert a == b != parse_page("<article><p>y</p></article>")[1]
+
+
+def test_deep_nesting_and_long_tables():
+    title, _, found = parse_page("<title>D</title><body>" + "<div>" * 20_000 + "<p>inside</p>")
+    assert title == "D" and [(e["type"], e["text"]) for e in found] == [("paragraph", "inside")]
+    rows = [["head", "x"], *([str(i), "y" * 20] for i in range(20_000))]
+    groups = split_rows(rows, 500)
+    assert all(g[0] == rows[0] for g in groups) and [r for g in groups for r in g[1:]] == rows[1:]
+    assert all(len(structure.table_text(g)) <= 500 for g in groups)
