@@ -1,3 +1,6 @@
+import time
+from collections import Counter
+
 import pytest
 from helpers import save
 
@@ -21,6 +24,15 @@ CASES = {
     "raw text": (page("<article><p>Before<script>if (a<b) { document.write('<p>no</p>') }</script> after<!-- <p>no</p> --></p><noscript>no</noscript></article>"), "Before after"),
     "heading outside": (page("<main><h1>Title</h1><div class='body'>" + "".join(f"<p>{LONG.format(i)}</p>" for i in range(3)) + "</div></main><div class='sidebar'>x</div>"), "Title\n\n" + "\n\n".join(LONG.format(i) for i in range(3))),
     "section in article": (page("<article><h1>T</h1><section>" + f"<p>{LONG.format(1)}</p>" * 2 + "</section></article>"), "\n\n".join(["T", LONG.format(1), LONG.format(1)])),
+    "title in a named header": (page("<article><div class='post-header'><h1>T</h1><p>By me</p></div><p>Body</p></article>"), "T\n\nBy me\n\nBody"),
+    "discussion": (page("<article><h1>T</h1><section id='discussion'><h2>Discussion</h2><p>We discuss.</p></section></article>"), "T\n\nDiscussion\n\nWe discuss."),
+    "related work": (page("<article><h1>T</h1><div class='related-work'><p>Others did <a href='/x'>this</a> before us.</p></div></article>"), "T\n\nOthers did this before us."),
+    "social history": (page("<article><h1>T</h1><div class='social-history'><p>The village grew.</p></div></article>"), "T\n\nThe village grew."),
+    "a notice in the text": (page("<article><h1>T</h1><p class='notice'>Mind the step.</p></article>"), "T\n\nMind the step."),
+    "a heading on comments": (page("<article><h1>T</h1><h2 id='comments'>On comments</h2><p>Text.</p></article>"), "T\n\nOn comments\n\nText."),
+    "links in the article": (page("<article><h1>T</h1><p>Body</p><div class='related-posts'><a href='/1'>First thing</a> <a href='/2'>Second thing</a></div><section id='comments'><p>First!</p></section><div class='ad-box'>Buy</div></article>"), "T\n\nBody"),
+    "deep": (page("<div>" * 20_000 + "<p>inside</p>"), "inside"),
+    "deep and closed": (page("<article>" + "<section><b>" * 5_000 + "<p>inside</p>" + "</b></section>" * 5_000 + "<p>after</p></article>"), "inside\n\nafter"),
     "nothing": (page("<nav>only a menu</nav>"), ""),
     "null": (None, ""),
     "empty": ("", ""),
@@ -51,6 +63,24 @@ def test_query(spark, tmp_path):
     assert found == sorted(((p, u, t, len(t)) for (p, u, _), t in zip(rows, texts, strict=True)), key=str)
 
 
+def test_votes_equal_counting(spark):
+    """Winning paths against a plain count of each page's vote."""
+    bodies = ["<div class='a1'>" + f"<p>{LONG.format(1)}</p>" * 3 + "</div><div class='b'>x</div>", "<div class='b2'>" + f"<p>{LONG.format(2)}</p>" * 3 + "</div>", "<article><p>y</p></article>"]
+    rows = [(i, f"https://h{i % 4}.example.com/{i}", page(bodies[(i * i + i // 5) % 3])) for i in range(60)]
+    votes = Counter((url.split("/")[2], Page(html).main_path()) for _, url, html in rows)
+    expected = {host: min((-n, path) for (h, path), n in votes.items() if h == host)[1] for host, _ in votes}
+    found = html_extract.winning_paths(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.host: r.path for r in found} == expected
+
+
+def test_long_pages_are_read_in_linear_time():
+    start = time.process_time()
+    for source in ("<div>" * 200_000 + "x", "<b>" * 100_000 + "<p>x" * 1000, "<p>word " * 100_000, "<li>a" * 100_000, "</div>" * 100_000 + "<div><p>" * 20_000):
+        found = Page(page(source))
+        found.text(found.main_path())
+    assert time.process_time() - start < 30
+
+
 def test_clashing_columns_and_empty_table(spark):
     rows = spark.createDataFrame([(1, "https://a.example.com/", "<p>x</p>", "h", 3, "p")], "page_id long, url string, html string, host string, salt int, path string")
     assert html_extract.extract_pages(rows).first().text == "x"
