@@ -15,7 +15,8 @@ store, commit atomically and survive lost executors; reading uses the binaryFile
 
 Defined results: null and empty texts have only the end id; rows of one doc_id lie side by side, in the order of their
 texts, and each gets its own row; a null doc_id is kept under the lowest key with a flag of its own; an empty table has
-no shards. Memory is one shard: the session's shuffle partitions (or adaptive partition size) set it.
+no shards; texts of any length are encoded whole; other columns than doc_id and text are not read, so their names cannot
+clash. Memory is one shard, of about ``SHARD_BYTES`` of text.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from __future__ import annotations
 import struct
 import zlib
 from array import array
-from bisect import bisect_right
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -41,6 +42,10 @@ SLOT = np.dtype([("print", "<u4"), ("row", "<u4"), ("rows", "<u4"), ("offset", "
 END = 0
 #: Shards whose first places are broadcast, some hundred bytes each.
 MAX_SHARDS = 200_000
+#: Shards that a lookup takes at once.
+MAX_INDEXED = 2_000_000
+#: Bytes of text that one shard holds at most; a worker needs about three times as much for its ids.
+SHARD_BYTES = 64 << 20
 NO_KEY = -(2**63)
 _MASK = (1 << 64) - 1
 
@@ -222,13 +227,21 @@ def encoder(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
 
 
-def write_store(docs: DataFrame, out: str, path: str | None = None) -> None:
-    """Write the shards of all documents to the folder ``out``, in ascending doc_id order."""
+def write_store(docs: DataFrame, out: str, path: str | None = None, shard_bytes: int = SHARD_BYTES) -> None:
+    """Write the shards of all documents to the folder ``out``, in ascending doc_id order.
+
+    The texts' bytes are summed first: there are so many ranges that a shard holds about ``shard_bytes`` of text at most,
+    however few shuffle partitions the session has.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     path = path or default_path()
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    dealt = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    order = F.col("doc_id").asc_nulls_first(), F.xxhash64("text")
+    shards = -(-size // shard_bytes)
+    dealt = rows.repartitionByRange(shards, *order) if shards > int(spark.conf.get("spark.sql.shuffle.partitions")) else rows.repartitionByRange(*order)
+    dealt = dealt.sortWithinPartitions(*order, "text")
 
     def load():
         coder = encoder(path)
@@ -255,76 +268,90 @@ def _files(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(out)
 
 
-def _heads(spark: SparkSession, out: str) -> DataFrame:
-    """file, lowest key, rows without a key, ids: one small row for each shard."""
+def _entries(spark: SparkSession, out: str) -> DataFrame:
+    """doc_id, start in its shard, n_tokens, ids_crc32 and file of every stored row, each reached through its shard's index."""
 
     def load():
         def step(rows: Iterable[tuple]) -> Iterator[tuple]:
             for file, data in rows:
                 if data:
-                    shard = Shard(data)
-                    yield file, shard.lowest, int(shard.rows["null"].sum()), shard.ids
+                    for key, start, n, crc in Shard(data).entries():
+                        yield key, start, n, crc, file
 
         return step
 
-    return map_rows(_files(spark, out).select("path", "content"), "file string, lowest long, nulls long, ids long", load)
+    return map_rows(_files(spark, out).select("path", "content"), "doc_id long, start long, n_tokens long, ids_crc32 long, file string", load)
 
 
-def shard_bases(spark: SparkSession, out: str) -> list[tuple[int, str, int, int]]:
-    """(lowest key, file, ids before it, ids) of each shard, in key order."""
-    bases, before = [], 0
-    for r in sorted(_heads(spark, out).collect(), key=lambda r: (r.lowest, -r.nulls, r.file)):
-        bases.append((r.lowest, r.file, before, r.ids))
-        before += r.ids
-    return bases
+def _shard_table(entries: DataFrame) -> DataFrame:
+    """file, lowest key, rows without a key and ids of each shard: one small row for each."""
+    return entries.groupBy("file").agg(F.coalesce(F.min("doc_id"), F.lit(NO_KEY)).alias("lowest"), F.sum(F.col("doc_id").isNull().cast("long")).alias("nulls"), F.sum("n_tokens").alias("ids"))
 
 
 def read_store(spark: SparkSession, out: str, max_shards: int = MAX_SHARDS) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every stored row, from the files and through their indexes.
 
-    The shards' first places are broadcast; beyond ``max_shards`` they are summed in a table and joined by shuffle.
+    Payloads are read once: the rows are written, and the shards' first places are sums over them. Those are broadcast, or
+    joined by shuffle beyond ``max_shards``.
     """
-    few = _files(spark, out).select("path").count() <= max_shards
-    base = spark.sparkContext.broadcast({file: before for _, file, before, _ in shard_bases(spark, out)} if few else None)
+    rows = written(_entries(spark, out), "store-entries")
+    shards = written(_shard_table(rows), "store-shards", compact=True)
+    earlier = Window.orderBy(F.col("nulls") == 0, "lowest", "file").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = shards.select("file", F.coalesce(F.sum("ids").over(earlier), F.lit(0)).alias("first"))
+    firsts = F.broadcast(firsts) if shards.count() <= max_shards else firsts
+    return rows.join(firsts, "file").select("doc_id", (F.col("first") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
 
-    def load():
-        starts = base.value
+
+def index_shards(spark: SparkSession, out: str) -> str:
+    """Writes the table of the shards' key ranges beside them, once for each store; gives its path."""
+    path = f"{out.rstrip('/')}-shards"
+    entries = _entries(spark, out).where("doc_id IS NOT NULL")
+    entries.groupBy("file").agg(F.min("doc_id").alias("lowest"), F.max("doc_id").alias("highest")).write.mode("overwrite").parquet(path)
+    return path
+
+
+def lookup(keys: DataFrame, out: str, shards: str, max_shards: int = MAX_INDEXED) -> DataFrame:
+    """key and ids (without the end id) of every stored row of the keys (column doc_id).
+
+    The shards' key ranges (``index_shards``; some hundred bytes each, their number is checked) are broadcast and tell which
+    shards can hold a key. Only those are read, on the executors; in each a key costs one hash, one fingerprint and one slice.
+    """
+    spark = keys.sparkSession
+    ranges = spark.read.parquet(shards)
+    if ranges.count() > max_shards:
+        raise ValueError(f"more than {max_shards} shards; look up in parts of the store or write larger shards")
+    ordered = sorted(ranges.collect(), key=lambda r: (r.lowest, r.highest))
+    shared = spark.sparkContext.broadcast(([r.lowest for r in ordered], [r.highest for r in ordered], [r.file for r in ordered]))
+
+    def find():
+        lowest, highest, files = shared.value
 
         def step(rows: Iterable[tuple]) -> Iterator[tuple]:
-            for file, data in rows:
-                for key, start, n, crc in Shard(data).entries() if data else ():
-                    yield (key, starts[file] + start, n, crc) if starts else (key, start, n, crc, file)
+            for (key,) in rows:
+                at = bisect_left(highest, key)  # ranges follow one another, so both ends are in order
+                while at < len(files) and lowest[at] <= key:
+                    yield files[at], key
+                    at += 1
 
         return step
 
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
-    files = _files(spark, out).select("path", "content")
-    if few:
-        return map_rows(files, schema, load)
-    earlier = Window.orderBy("lowest", F.desc("nulls"), "file").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = written(_heads(spark, out).select("file", F.coalesce(F.sum("ids").over(earlier), F.lit(0)).alias("first")), "shard-firsts")
-    return map_rows(files, f"{schema}, file string", load).join(firsts, "file").select("doc_id", (F.col("first") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
-
-
-def lookup(spark: SparkSession, out: str, keys: list[int]) -> dict[int, list[list[int]]]:
-    """The ids of some keys: only the shards that can hold them are read."""
-    bases = shard_bases(spark, out)
-    lowest = [b[0] for b in bases]
-    wanted: dict[str, list[int]] = {}
-    for key in keys:
-        at = bisect_right(lowest, key) - 1
-        while at >= 0:
-            wanted.setdefault(bases[at][1], []).append(key)
-            if lowest[at] != key:
-                break
-            at -= 1
-    found: dict[int, list[list[int]]] = {}
-    for row in spark.read.format("binaryFile").load(list(wanted)).select("path", "content").toLocalIterator() if wanted else ():
-        shard = Shard(bytes(row.content))
-        for key in wanted[row.path]:
-            if ids := shard.get(key):
-                found.setdefault(key, []).extend(x.tolist() for x in ids)
-    return found
+    def read():
+        def step(rows: Iterable[tuple]) -> Iterator[tuple]:
+            for mine, data in rows:
+                shard = Shard(data)
+                for key in mine:
+                    for ids in shard.get(key):
+                        yield key, ids.tolist()
+
+        return step
+
+    wanted = keys.select(F.col("doc_id").cast("long").alias("key")).where("key IS NOT NULL").distinct()
+    own = written(map_rows(wanted, "file string, key long", find).groupBy("file").agg(F.collect_list("key").alias("keys")), "store-wanted", compact=True)
+    paths = [r.file for r in own.select("file").collect()]
+    if not paths:
+        return spark.createDataFrame([], "key long, ids array<long>")
+    contents = spark.read.format("binaryFile").load(paths).select(F.col("path").alias("file"), "content")
+    return map_rows(contents.join(own, "file").select("keys", "content"), "key long, ids array<long>", read)
 
 
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

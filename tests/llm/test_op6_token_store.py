@@ -5,6 +5,7 @@ from array import array
 import numpy as np
 import pytest
 from helpers import documents, prose, save
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from millrace.llm import bpe, tokenstore
@@ -43,7 +44,11 @@ def test_lookup_by_key(spark, tmp_path, library):
     doc_id, text = rows[20]
     out = f"file://{tmp_path}/store"
     tokenstore.write_store(documents(spark, [*rows, (doc_id, text), (None, "no id")]), out)
-    found = tokenstore.lookup(spark, out, [doc_id, rows[3][0], 123_456_789])
+    shards = tokenstore.index_shards(spark, out)
+    keys = spark.createDataFrame([(k,) for k in (doc_id, doc_id, rows[3][0], 123_456_789, None)], "doc_id long")
+    found = {}
+    for r in tokenstore.lookup(keys, out, shards).collect():
+        found.setdefault(r.key, []).append(r.ids)
     ids = library.encode(text, add_special_tokens=False).ids
     assert found == {doc_id: [ids, ids], rows[3][0]: [library.encode(rows[3][1], add_special_tokens=False).ids]}
     back = tokenstore.read_store(spark, out).collect()
@@ -55,7 +60,28 @@ def test_lookup_by_key(spark, tmp_path, library):
 def test_empty_table(spark, tmp_path):
     out = f"file://{tmp_path}/store"
     tokenstore.write_store(documents(spark, []), out)
-    assert tokenstore.read_store(spark, out).count() == 0 and tokenstore.lookup(spark, out, [1]) == {}
+    assert tokenstore.read_store(spark, out).count() == 0
+    assert tokenstore.lookup(spark.createDataFrame([(1,)], "doc_id long"), out, tokenstore.index_shards(spark, out)).count() == 0
+
+
+def test_shards_follow_the_bytes(spark, tmp_path, library):
+    rows = [*corpus(), *[(7, f"same key {i}") for i in range(40)], *[(None, f"no key {i}") for i in range(40)]]
+    docs = documents(spark, rows).withColumns({"value": F.lit("x"), "file": F.lit(1), "my col": F.lit(2)})
+    out = f"file://{tmp_path}/store"
+    tokenstore.write_store(docs, out, shard_bytes=500)
+    assert len(list((tmp_path / "store").glob("part-*"))) > 8
+    back = sorted(tokenstore.read_store(spark, out).collect(), key=lambda r: r.start)
+    assert [r.start for r in back] == [sum(x.n_tokens for x in back[:k]) for k in range(len(back))]
+    assert [r.doc_id for r in back] == sorted((r[0] for r in rows), key=lambda x: (x is not None, x or 0))
+    found = tokenstore.lookup(spark.createDataFrame([(7,)], "doc_id long"), out, tokenstore.index_shards(spark, out)).collect()
+    assert sorted(r.ids for r in found) == sorted(library.encode(t or "", add_special_tokens=False).ids for k, t in rows if k == 7)
+
+
+def test_very_long_text(spark, tmp_path, library):
+    text = "word and word " * 60_000
+    out = f"file://{tmp_path}/store"
+    tokenstore.write_store(documents(spark, [(1, text)]), out)
+    assert tokenstore.read_store(spark, out).first().n_tokens == len(library.encode(text, add_special_tokens=False).ids) + 1
 
 
 def test_perfect_hash_is_minimal():
