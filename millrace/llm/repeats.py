@@ -207,11 +207,14 @@ def anchors(docs: DataFrame) -> DataFrame:
     return written(map_rows(long_enough, "digest binary, key long, segment binary, place int, first int, last int, before long, after long", load), "anchors")
 
 
+def keyed(left: DataFrame, keys: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """Join with a written table of one row for each key: broadcast where its counted rows are few, by shuffle beyond."""
+    return left.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, on, how)
+
+
 def _texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
     """digest, raw: one copy of each needed text. ``needed`` is written; it is broadcast where its counted rows are few."""
-    keys = needed.select("digest")
-    keys = F.broadcast(keys) if needed.count() <= BROADCAST_ROWS else keys
-    return docs.select(_digest(), "text").join(keys, "digest", "left_semi").groupBy("digest").agg(F.first("text").cast("binary").alias("raw"))
+    return keyed(docs.select(_digest(), "text"), needed.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.first("text").cast("binary").alias("raw"))
 
 
 def _cut_segments(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -276,8 +279,7 @@ def _by_digests(parts: DataFrame) -> DataFrame:
     hot = parts.where(F.col("bytes") > BATCH_BYTES).select("n", "digest", "place", "first", "part")
     windows = written(map_rows(hot, "window binary, digest binary, start int, single boolean", load), "hot-windows", compact=True)
     twice = written(windows.groupBy("window").agg(F.count("*").alias("of")).where("of > 1").select("window"), "repeated-windows", compact=True)
-    twice = F.broadcast(twice) if twice.count() <= BROADCAST_ROWS else twice
-    return windows.where("single").join(twice, "window", "left_semi").select("digest", "start", (F.col("start") + LENGTH).alias("end"))
+    return keyed(windows.where("single"), twice, "window", "left_semi").select("digest", "start", (F.col("start") + LENGTH).alias("end"))
 
 
 def covered(docs: DataFrame) -> DataFrame:
@@ -286,12 +288,12 @@ def covered(docs: DataFrame) -> DataFrame:
     counts = written(found.groupBy("key", "segment").agg(F.count("*").alias("n"), F.min(F.struct("digest", "place", "first", "last", "before", "after")).alias("one")), "segments")
     whole = found.join(counts.where("n > 1").select("key", "segment"), ["key", "segment"], "left_semi").select("digest", F.col("first").alias("start"), (F.col("last") + LENGTH).alias("end"))
     open_keys = written(counts.groupBy("key").agg(F.count("*").alias("many"), F.min("n").alias("least")).where("many > 1 AND least = 1").select("key"), "open-keys", compact=True)
-    near = written(counts.join(open_keys, "key").select("key", "segment", "n", "one.*"), "open-segments", compact=True)
+    near = written(keyed(counts, open_keys, "key").select("key", "segment", "n", "one.*"), "open-segments", compact=True)
     side = near.select("key", "segment", "n", F.explode(F.array_compact(F.array("before", "after"))).alias("side"))
     agree = side.groupBy("key", "side").agg(F.count("*").alias("many"), F.min("n").alias("least")).where("many > 1 AND least = 1").select("key", "side")
     kept = written(near.join(side.join(agree, ["key", "side"]).select("key", "segment").distinct(), ["key", "segment"], "left_semi"), "edge-segments", compact=True)
     size = written(kept.groupBy("key").agg(F.sum(F.col("last") - F.col("first") + LENGTH + 1).alias("bytes")), "edge-keys", compact=True)
-    wanted = kept.join(size, "key").select("key", "n", "bytes", "digest", "place", "first", "last")
+    wanted = keyed(kept, size, "key").select("key", "n", "bytes", "digest", "place", "first", "last")
     parts = written(_cut_segments(docs, wanted), "edges", compact=True)
     spans = whole.unionByName(_by_transform(parts))
     if not parts.where(F.col("bytes") > BATCH_BYTES).isEmpty():
