@@ -16,7 +16,9 @@ Closed pre-tokens of up to ``MEMO_CHARS`` signs are kept in a memo of bounded si
 bytes become U+FFFD just as in lossy UTF-8 decoding.
 
 Defined results: null and empty texts have no ids and decode to the empty text; a special token's string in a text
-is that one id, as the library does by default.
+is that one id, as the library does by default; texts of any length are encoded whole, in memory of the ids; repeated
+rows are encoded each; merges of one rank are taken from left to right; an empty table gives no rows; other columns than
+doc_id and text are not read, so their names cannot clash.
 """
 
 from __future__ import annotations

@@ -16,8 +16,13 @@ one, so that no link between two components of a bucket is lost. A candidate pai
 its k-mers' Jaccard similarity (with occurrences) is ``SIMILARITY`` or more and an alignment inside the band of
 diagonals that this similarity allows confirms it (edit similarity of ``SIMILARITY`` or more).
 
+Tables with one row for each bucket are written before a bucket's rows are joined with them, so that a hot bucket's
+partition can be split.
+
 Defined results: a text of fewer than K words is one k-mer; texts without words (null, empty) are copies of each other;
-``class_id`` is the least doc_id of a class (null if it has none); repeated rows are members like any other.
+``class_id`` is the least doc_id of a class (null if it has none); repeated rows are members like any other; ties between
+hubs go to the greater digest; texts of any length are sketched and aligned whole; an empty table gives no rows; other
+columns than doc_id and text are not read, and ``dedup`` hands them on unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -188,7 +193,7 @@ def keyed(left: DataFrame, keys: DataFrame, on: str | list[str], how: str) -> Da
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """a, b of the candidate pairs (written) that are links."""
-    needed = written(pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct(), "needed-texts")
+    needed = written(pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct(), "needed-texts", compact=True)
     texts = keyed(docs.select(_digest(), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), needed, "digest", "left_semi")
     texts = written(texts.groupBy("digest").agg(F.first("text").alias("text")), "candidate-texts")
     left = texts.select(F.col("digest").alias("a"), F.col("text").alias("text_a"))
@@ -214,7 +219,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root of the nodes of the edges (a, b): large and small stars in turn until nothing moves."""
-    edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges", compact=True)
     mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -223,7 +228,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        edges = written(small, "stars")
+        edges = written(small, "stars", compact=True)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -234,38 +239,38 @@ def link(docs: DataFrame, sketched: DataFrame) -> DataFrame:
     """node, root for each digest that is linked to another one."""
     nodes = sketched.groupBy("digest").agg(F.first("bands").alias("bands"))
     member = nodes.select("digest", F.explode("bands").alias("band"))
-    size = member.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    member = written(member.join(size, "band"), "buckets")
+    size = written(member.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "band-sizes", compact=True)
+    member = written(keyed(member, size, "band", "inner"), "buckets", compact=True)
     central = member.groupBy("digest").agg(F.sum("n").alias("central"))
     member = written(member.select("band", "digest").join(central, "digest"), "central")
 
     def edges_to(hubs: DataFrame, others: DataFrame) -> DataFrame:
-        joined = others.join(hubs, "band").where("root <> hub_root")
+        joined = keyed(others, written(hubs, "hubs", compact=True), "band", "inner").where("root <> hub_root")
         return joined.select(F.least("hub", "digest").alias("a"), F.greatest("hub", "digest").alias("b")).distinct()
 
     hubs = member.groupBy("band").agg(F.max(F.struct("central", "digest")).alias("h")).select("band", F.col("h.digest").alias("hub"), F.col("h.digest").alias("hub_root"))
-    first = written(edges_to(hubs, member.withColumn("root", F.col("digest"))), "pairs")
-    links = written(verified(docs, first), "links")
+    first = written(edges_to(hubs, member.withColumn("root", F.col("digest"))), "pairs", compact=True)
+    links = written(verified(docs, first), "links", compact=True)
     roots = components(links)
     own = member.join(roots, member.digest == roots.node, "left").select("band", "digest", "central", F.coalesce("root", "digest").alias("root"))
     mixed = own.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band")
-    near = own.join(mixed, "band").groupBy("digest", "root", "central").agg(F.array_sort(F.collect_set("band")).alias("own"))  # at most BANDS of them
+    near = keyed(own, written(mixed, "mixed-bands", compact=True), "band", "inner").groupBy("digest", "root", "central").agg(F.array_sort(F.collect_set("band")).alias("own"))  # at most BANDS of them
     alone_and_paired = F.expr("concat(own, flatten(transform(own, (x, i) -> transform(slice(own, i + 2, size(own)), y -> xxhash64(x, y)))))")
     near = near.select("digest", "root", "central", F.explode(alone_and_paired).alias("band")).withColumn("draw", F.xxhash64("band", "digest"))
     each = [F.max(F.struct(F.col(first), F.col(then), F.col("digest"))).alias(name) for name, first, then in (("a", "central", "draw"), ("b", "draw", "central"))]
-    reps = written(near.groupBy("band", "root").agg(*each), "delegates")
+    reps = written(near.groupBy("band", "root").agg(*each), "delegates", compact=True)
     still = reps.groupBy("band").agg(F.count("*").alias("roots")).where("roots > 1").select("band")
-    reps = reps.join(still, "band").select("band", "root", F.explode(F.array_distinct(F.array(*(F.struct(F.col(f"{x}.central"), F.col(f"{x}.draw"), F.col(f"{x}.digest")) for x in "ab")))).alias("d"))
-    delegates = written(reps.select("band", "root", "d.*"), "delegates")
+    reps = keyed(reps, written(still, "mixed-sets", compact=True), "band", "inner").select("band", "root", F.explode(F.array_distinct(F.array(*(F.struct(F.col(f"{x}.central"), F.col(f"{x}.draw"), F.col(f"{x}.digest")) for x in "ab")))).alias("d"))
+    delegates = written(reps.select("band", "root", "d.*"), "delegates", compact=True)
     best = [F.max(F.struct(F.expr(o).alias("o"), "digest", "root")).alias(f"h{i}") for i, o in enumerate(ORDERS)]
     hubs = delegates.groupBy("band").agg(*best).select("band", F.explode(F.array_distinct(F.array(*(F.struct(F.col(f"h{i}.digest").alias("hub"), F.col(f"h{i}.root").alias("hub_root")) for i in range(len(ORDERS)))))).alias("h"))
-    second = written(edges_to(hubs.select("band", "h.hub", "h.hub_root"), delegates).join(first, ["a", "b"], "left_anti"), "pairs")
-    more = written(verified(docs, second), "links")
+    second = written(edges_to(hubs.select("band", "h.hub", "h.hub_root"), delegates).join(first, ["a", "b"], "left_anti"), "pairs", compact=True)
+    more = written(verified(docs, second), "links", compact=True)
     if not more.isEmpty():
         links = links.unionByName(more)
         roots = components(links)
     rest = overlapping(docs, apart(member, roots)).join(first, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti")
-    last = written(verified(docs, written(rest, "pairs")), "links")
+    last = written(verified(docs, written(rest, "pairs", compact=True)), "links", compact=True)
     return roots if last.isEmpty() else components(links.unionByName(last))
 
 
@@ -273,7 +278,7 @@ def apart(member: DataFrame, roots: DataFrame) -> DataFrame:
     """digest, root of the nodes in buckets that hold several components; written."""
     own = member.join(roots, member.digest == roots.node, "left").select("band", "digest", F.coalesce("root", "digest").alias("root"))
     mixed = own.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band")
-    return written(own.join(mixed, "band").select("digest", "root").distinct(), "apart")
+    return written(keyed(own, written(mixed, "mixed-bands", compact=True), "band", "inner").select("digest", "root").distinct(), "apart", compact=True)
 
 
 def overlapping(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -303,7 +308,7 @@ def overlapping(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     start = common.select("digest", "root", "n", (F.col("n") - F.size("common")).alias("alone"), "common")
     start = start.withColumn("long", F.expr(f"cast(n - ceil({SIMILARITY}D * n - 1e-6D) + 1 as int)")).withColumn("short", F.expr(f"cast(n - ceil({2 * SIMILARITY / (1 + SIMILARITY)}D * n - 1e-6D) + 1 as int)"))
     start = start.where("long > alone").select("digest", "root", "n", "alone", "short", F.posexplode(F.expr("slice(common, 1, long - alone)")).alias("i", "x"))
-    start = written(start.select("digest", "root", "n", "short", F.expr("alone + i + 1").alias("at"), F.col("x.kmer").alias("kmer")), "first-kmers")
+    start = written(start.select("digest", "root", "n", "short", F.expr("alone + i + 1").alias("at"), F.col("x.kmer").alias("kmer")), "first-kmers", compact=True)
     left = start.where("at <= short").select("kmer", *(F.col(c).alias(f"{c}_a") for c in ("digest", "root", "n", "at")))
     right = start.select("kmer", *(F.col(c).alias(f"{c}_b") for c in ("digest", "root", "n", "at")))
     fits = f"root_a <> root_b AND (n_a < n_b OR n_a = n_b AND digest_a < digest_b) AND n_a >= {SIMILARITY}D * n_b - 1e-6D"
@@ -318,7 +323,7 @@ def classes(docs: DataFrame) -> DataFrame:
     roots = link(docs, sketched)
     own = sketched.groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"))
     named = own.join(roots, own.digest == roots.node, "left").select("digest", F.coalesce("root", "digest").alias("root"), "least_id", "copies")
-    named = written(named, "nodes")
+    named = written(named, "nodes", compact=True)
     size = named.groupBy("root").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"), F.count("*").alias("n_texts"))
     by_digest = named.select("digest", "root").join(size, "root").drop("root")
     return sketched.select("doc_id", "digest").join(by_digest, "digest")
@@ -333,18 +338,18 @@ def dedup(docs: DataFrame) -> DataFrame:
     counted = written(found.groupBy("doc_id", "digest").agg(F.count("*").alias("n")), "copies")
     flagged = counted.alias("c").join(keep.withColumn("keep", F.lit(True)).alias("k"), F.col("c.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("c.digest") == F.col("k.digest")), "left")
     flagged = written(flagged.select(F.col("c.doc_id").alias("__id"), F.col("c.digest").alias("__digest"), "n", F.coalesce("keep", F.lit(False)).alias("keep")), "verdicts")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.withColumn("__text", _digest())
+    columns = [F.col("__row").getField(c).alias(c) for c in docs.columns]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.col("doc_id").alias("__doc"), _digest().alias("__text"))
 
     def without(bad: DataFrame, how: str) -> DataFrame:
         bad = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
-        return rows.join(bad, rows.doc_id.eqNullSafe(bad["__id"]) & (rows["__text"] == bad["__digest"]), how)
+        return rows.join(bad, rows["__doc"].eqNullSafe(bad["__id"]) & (rows["__text"] == bad["__digest"]), how)
 
     once = without(flagged.where("NOT keep OR n > 1"), "left_anti").select(*columns)
     again = flagged.where("keep AND n > 1")
     if again.isEmpty():
         return once
-    repeated = without(again, "left_semi").dropDuplicates(["doc_id", "__text"]).select(*columns)
+    repeated = without(again, "left_semi").dropDuplicates(["__doc", "__text"]).select(*columns)
     return once.unionByName(repeated)
 
 

@@ -82,3 +82,11 @@ def test_empty_table(spark):
     assert bpe.digests(documents(spark, [])).count() == 0
     row = bpe.encode_documents(documents(spark, [(1, "some words")])).first()
     assert row.decoded == "some words" and len(row.ids) > 1
+
+
+def test_clashing_columns_repeated_rows_and_very_long_texts(spark, library):
+    text = "many words " * 50_000
+    rows = documents(spark, [(1, text), (1, text), (2, None)]).withColumnRenamed("source", "ids").withColumnRenamed("lang", "n_tokens")
+    got = sorted((r.doc_id, r.n_tokens) for r in bpe.digests(rows).collect())
+    n = len(library.encode(text, add_special_tokens=False).ids)
+    assert got == [(1, n), (1, n), (2, 0)]

@@ -3,6 +3,8 @@ from collections import Counter
 
 from helpers import documents, prose, save
 
+from pyspark.sql import functions as F
+
 from millrace.llm import near_dup
 
 
@@ -135,3 +137,13 @@ def test_alignment_distance():
             row = new
         assert near_dup.alignment_distance(a, b, 12) == row[-1]
         assert near_dup.alignment_distance(a, b, 2) == (row[-1] if row[-1] <= 2 else None)
+
+
+def test_very_long_texts_and_columns_whose_names_clash(spark):
+    rng = random.Random(77)
+    long = prose(rng, 60_000)
+    rows = [(1, long), (2, long + " and a little more"), (3, prose(rng, 60)), (4, prose(rng, 60))]
+    docs = documents(spark, rows).withColumns({c: F.lit(i) for i, c in enumerate(("digest", "band", "class_id", "__text", "my col", "keep"))})
+    kept = {r.doc_id: r for r in near_dup.dedup(docs).collect()}
+    assert sorted(kept) == [1, 3, 4] and kept[1].text == long
+    assert all([r[c] for c in ("digest", "band", "class_id", "__text", "my col", "keep")] == list(range(6)) for r in kept.values())
