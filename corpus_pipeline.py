@@ -3,6 +3,10 @@
 Language identification drops documents whose language isn't identified, near-dedup keeps one document of each class,
 decontamination drops or cuts what holds benchmark items, personal data is masked, and what is left is encoded.
 Each stage takes all that the one before it kept and returns the columns of documents; the last returns the ids.
+
+Defined results, in every stage: null and empty texts are rejected by the first stage, as nothing in them names a
+language; very long texts are handled whole; of equal rows the second stage keeps one; ties are settled as the operators
+say; an empty table gives no rows; further columns, whatever their names, are handed on unchanged up to the last stage.
 """
 
 from __future__ import annotations
