@@ -2,7 +2,6 @@ import random
 from collections import Counter
 
 from helpers import documents, prose, save
-
 from pyspark.sql import functions as F
 
 from millrace.llm import near_dup
