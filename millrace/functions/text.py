@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The white space of web scripts: ASCII white space and the Unicode blanks that Java's \s leaves out.
 BLANK = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+#: The same signs one by one, for trimming without a pattern.
+BLANK_SIGNS = " \t\n\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 #: Fixed values of the rewrite gate.
 QUESTION_OPENERS = ("how", "what", "why", "when", "where")
 COMMANDS = ("vite", "npm", "pnpm", "yarn", "bun", "npx", "node")
@@ -27,7 +31,18 @@ def normalize_multiline(text: Column) -> Column:
 
 
 def normalize_whitespace_ends(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{BLANK}+|{BLANK}+$", "")
+    """Without white space at either end; only the ends are looked at, whatever the length."""
+    return F.btrim(text, F.lit(BLANK_SIGNS))
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed one time for each row, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def kept_if(value: Column, test: Callable[[Column], Column]) -> Column:
+    """``value``, computed one time for each row, or null where it fails the test."""
+    return F.get(F.filter(F.array(value), test), F.lit(0))
 
 
 def words(text: Column) -> Column:
@@ -173,15 +188,17 @@ def trigram_similarity(a: Column, b: Column) -> Column:
 
 def split_sentences(text: Column, limit: int) -> Column:
     """Parts at the first boundary (blank line, line, sentence) at which there are several and all fit; else cut every ``limit`` signs."""
-    body = normalize_whitespace_ends(text)
-    out = None
-    for boundary in (r"\n\s*\n", r"\n", r"(?<=[.!?])\s+"):
-        parts = F.filter(F.transform(F.split(body, boundary), normalize_whitespace_ends), lambda x: x != "")
-        fits = (F.size(parts) > 1) & ~F.exists(parts, lambda x: F.length(x) > limit)
-        out = F.when(fits, parts) if out is None else out.when(fits, parts)
-    pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.length(body), F.lit(1)), F.lit(limit)), lambda i: normalize_whitespace_ends(F.substring(body, i, F.lit(limit))))
-    hard = F.filter(pieces, lambda x: x != "")
-    return F.when(body == "", F.array().cast("array<string>")).when(F.length(body) <= limit, F.array(body)).otherwise(out.otherwise(hard))
+
+    def parts_of(body: Column) -> Column:
+        def at(boundary: str) -> Column:
+            parts = F.filter(F.transform(F.split(body, boundary), normalize_whitespace_ends), lambda x: x != "")
+            return kept_if(parts, lambda p: (F.size(p) > 1) & ~F.exists(p, lambda x: F.length(x) > limit))
+
+        pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.length(body), F.lit(1)), F.lit(limit)), lambda i: normalize_whitespace_ends(F.substring(body, i, F.lit(limit))))
+        several = F.coalesce(at(r"\n\s*\n"), at(r"\n"), at(r"(?<=[.!?])\s+"), F.filter(pieces, lambda x: x != ""))
+        return F.when(body == "", F.array().cast("array<string>")).when(F.length(body) <= limit, F.array(body)).otherwise(several)
+
+    return once(normalize_whitespace_ends(text), parts_of)
 
 
 def hard_cut(text: Column, limit: int) -> Column:

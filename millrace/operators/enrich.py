@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Enrichment
-from ..functions.text import clean_strings, normalize_whitespace_ends
+from ..functions.text import clean_strings, kept_if, normalize_whitespace_ends, once
 from .models import with_deadline, with_retries
 
 VERSION = "meta-v1"
@@ -26,13 +26,18 @@ def policy(kind: Column, content: Column, config: Enrichment = Enrichment()) ->
 
 def validated(kind: Column, raw: Column) -> Column:
     """The cleaned output as a struct, or null if a required part is missing."""
-    out = F.from_json(raw, OUTPUT)
-    text = {k: F.nullif(normalize_whitespace_ends(out[k]), F.lit("")) for k in ("summary", "table_summary", "code_summary")}
-    lists = {k: clean_strings(out[k]) for k in ("keywords", "hypothetical_questions", "entities", "topics", "api_symbols")}
-    fits = text["summary"].isNotNull() & lists["keywords"].isNotNull() & lists["hypothetical_questions"].isNotNull()
-    fits &= (kind != "table") | text["table_summary"].isNotNull()
-    fits &= (kind != "code") | text["code_summary"].isNotNull() | lists["api_symbols"].isNotNull()
-    return F.when(fits, F.struct(*(v.alias(k) for k, v in (text | lists).items())))
+
+    def cleaned(out: Column) -> Column:
+        text = {k: F.nullif(normalize_whitespace_ends(out[k]), F.lit("")) for k in ("summary", "table_summary", "code_summary")}
+        lists = {k: clean_strings(out[k]) for k in ("keywords", "hypothetical_questions", "entities", "topics", "api_symbols")}
+        return F.struct(*(v.alias(k) for k, v in (text | lists).items()))
+
+    def fits(made: Column) -> Column:
+        whole = made["summary"].isNotNull() & made["keywords"].isNotNull() & made["hypothetical_questions"].isNotNull()
+        whole &= (kind != "table") | made["table_summary"].isNotNull()
+        return whole & ((kind != "code") | made["code_summary"].isNotNull() | made["api_symbols"].isNotNull())
+
+    return kept_if(once(F.from_json(raw, OUTPUT), cleaned), fits)
 
 
 def default_model(kind: str, content: str) -> str:
@@ -73,14 +78,18 @@ def embedding_input(title: Column, path: Column, kind: Column, content: Column,
     def of_kind(name: str, label: str, value: Column) -> Column:
         return F.when((kind == name) & value.isNotNull(), F.concat(F.lit(label), value))
 
-    questions = F.when(F.size(enrichment["hypothetical_questions"]) > 0, F.concat(F.lit("Questions:\n"), F.array_join(F.transform(enrichment["hypothetical_questions"], lambda q: F.concat(F.lit("- "), q)), "\n")))
     kind_name = F.when(kind == "table", "Table").when(kind == "code", "Code").otherwise("Prose")
-    lines = F.concat_ws(
-        "\n", F.concat(F.lit("Document: "), title), F.concat(F.lit("Path: "), F.array_join(path, " > ")), F.concat(F.lit("Type: "), kind_name), F.concat(F.lit("Summary: "), enrichment["summary"]),
-        of_kind("table", "Table Summary: ", enrichment["table_summary"]), of_kind("code", "Code Summary: ", enrichment["code_summary"]), joined("Keywords: ", enrichment["keywords"]), joined("Topics: ", enrichment["topics"]),
-        joined("Entities: ", enrichment["entities"]), joined("Symbols: ", enrichment["api_symbols"]), questions, F.lit("Content:"), content,
-    )
-    return F.when(enrichment.isNull(), content).otherwise(lines)
+
+    def lines(made: Column) -> Column:
+        asked = made["hypothetical_questions"]
+        questions = F.when(F.size(asked) > 0, F.concat(F.lit("Questions:\n"), F.array_join(F.transform(asked, lambda q: F.concat(F.lit("- "), q)), "\n")))
+        return F.concat_ws(
+            "\n", F.concat(F.lit("Document: "), title), F.concat(F.lit("Path: "), F.array_join(path, " > ")), F.concat(F.lit("Type: "), kind_name), F.concat(F.lit("Summary: "), made["summary"]),
+            of_kind("table", "Table Summary: ", made["table_summary"]), of_kind("code", "Code Summary: ", made["code_summary"]), joined("Keywords: ", made["keywords"]), joined("Topics: ", made["topics"]),
+            joined("Entities: ", made["entities"]), joined("Symbols: ", made["api_symbols"]), questions, F.lit("Content:"), content,
+        )
+
+    return once(enrichment, lambda made: F.when(made.isNull(), content).otherwise(lines(made)))
 
 
 def preview(text: Column) -> Column:

@@ -44,6 +44,29 @@ def test_fold_by_days_and_keys(spark):
     assert {r.event_id: (r.allowed, r.reason) for r in quota.fold(table, q, "user_id").collect()} == expected
 
 
+def test_fold_at_its_limits(spark):
+    """Waits, accounts without a name, minutes that admit nothing, a day that ends inside a minute, any batch size."""
+    schema = "event_id long, ts timestamp, user_id long, tokens long"
+    rows = [(i, ts, None if u == 1 else u, tokens) for i, ts, u, tokens in requests(300)] + [(1000 + i, START - timedelta(minutes=9, seconds=-i), None, 10**6) for i in range(3)]
+    table = spark.createDataFrame(rows, schema)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(size)
+    for batch, q in ((old, Quota(10, 4000, 25, 10)), ("7", Quota(10, 4000, 25, 10)), (old, Quota(10, 4000, 0, 10)), (old, Quota(0, 4000, 5, 10))):
+        expected = {}
+        for user in {r[2] for r in rows}:
+            meter = Meter(q)
+            expected |= {r[0]: meter.check(r[1], r[3]) for r in sorted((r for r in rows if r[2] == user), key=lambda r: (r[1], r[0]))}
+        spark.conf.set(size, batch)
+        try:
+            found = {r.event_id: (r.allowed, r.reason, r.retry_after) for r in quota.fold(table, q, "user_id").collect()}
+        finally:
+            spark.conf.set(size, old)
+        assert found == expected and (q.rpd < 5 or q.rpm == 0 or {v[1] for v in expected.values()} == {None, "rpm", "tpm", "rpd"})
+    odd = spark.createDataFrame([(1, None, None, 5), (2, None, 3, 5)], schema)
+    assert sorted((r.event_id, r.allowed) for r in quota.fold(odd, Quota(1, 100, 1, 0)).collect()) == [(1, True), (2, False)]
+    assert quota.fold(table.limit(0), Quota()).collect() == []
+
+
 def test_window_forms_agree_with_the_fold(spark):
     rows = requests()
     table = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, tokens long")

@@ -31,6 +31,14 @@ def test_rewrite_gate(spark, query, reason):
     assert one(spark, T.rewrite_gate(F.lit(query), False)) == "disabled"
 
 
+def test_ends_are_trimmed_as_the_pattern_says(spark):
+    signs = T.BLANK_SIGNS + "a\u200b\u0085\u2800"
+    for text in ["", " ", "a", T.BLANK_SIGNS, *(f"{x}\u3000b {x}c\t{x}" for x in signs)]:
+        pattern = F.regexp_replace(F.lit(text), rf"\A{T.BLANK}+|{T.BLANK}+\z", "")
+        assert one(spark, T.normalize_whitespace_ends(F.lit(text))) == one(spark, pattern), repr(text)
+    assert one(spark, T.normalize_whitespace_ends(F.lit(None).cast("string"))) is None
+
+
 def test_citations(spark):
     assert one(spark, T.cited_indexes(F.lit("x [2, 1] and [2][9], [0] [a] [3 4]"))) == [1, 2, 3, 9]
     assert one(spark, T.strip_references(F.lit("Answer [1].\n\n**References:**\n[1] a\nb"))) == "Answer [1]."
