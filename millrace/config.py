@@ -55,6 +55,8 @@ class Retrieval:
     rewrite: bool = False
     rewrite_timeout_s: float = 3.0
     rewrite_retries: int = 1
+    rewrite_debug: bool = False
+    rerank_debug: bool = False
     #: Fuse to the limit before reranking, so that reranking is always skipped; off by default.
     cut_before_rerank: bool = False
 
@@ -64,7 +66,7 @@ class Retrieval:
             threshold=threshold(env.get("RETRIEVE_THRESHOLD_DEFAULT"), 0.55), hybrid=flag(env, "HYBRID_RETRIEVAL_ENABLED"), trigram_threshold=open_unit(env, "HYBRID_LEXICAL_TRIGRAM_THRESHOLD", 0.18),
             pre_fusion_limit=positive(env, "HYBRID_PRE_FUSION_LIMIT", 12), rerank=flag(env, "RERANKING_ENABLED"), rerank_candidates=positive(env, "RERANKING_CANDIDATE_COUNT", 10),
             rerank_timeout_s=positive(env, "RERANKING_TIMEOUT_MS", 2500) / 1000, rewrite=flag(env, "QUERY_REWRITE_ENABLED"), rewrite_timeout_s=positive(env, "QUERY_REWRITE_TIMEOUT_MS", 3000) / 1000,
-            rewrite_retries=positive(env, "QUERY_REWRITE_MAX_RETRIES", 1, 0),
+            rewrite_retries=positive(env, "QUERY_REWRITE_MAX_RETRIES", 1, 0), rewrite_debug=flag(env, "QUERY_REWRITE_DEBUG"), rerank_debug=flag(env, "RERANKING_DEBUG"),
         )
 
     def branch_limit(self) -> int:

@@ -53,9 +53,10 @@ def word_count(text: Column) -> Column:
     return F.size(words(text))
 
 
-def estimate_tokens(text: Column) -> Column:
-    """A quarter of the signs, rounded up."""
-    return F.ceil(F.length(text) / 4)
+def estimate_tokens(text: Column, utf16: bool = False) -> Column:
+    """A quarter of the signs, rounded up; ``utf16`` counts signs beyond the basic plane twice, as web scripts do."""
+    signs = (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("long") if utf16 else F.length(text)
+    return F.ceil(signs / 4)
 
 
 def anchor_url(url: Column, anchor: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 import re
 from collections.abc import Callable
 
@@ -13,6 +14,7 @@ from ..functions.text import cited_indexes, cut_with_dots, is_fallback, normaliz
 from .models import with_deadline
 
 LAST_TURNS, TURN_CHARS = 12, 500
+LOG = logging.getLogger(__name__)
 
 
 def history(messages: DataFrame) -> DataFrame:
@@ -99,9 +101,11 @@ class ModelMissing(Exception):
     """A model name that the service does not know."""
 
 
-def answer(prompt: str, models: list[str], send: Callable[[str, str], str]) -> tuple[str, str]:
-    """(model, text) of the first model that exists; other errors are not caught."""
+def answer(prompt: str, models: list[str], send: Callable[[str, str], str], verbose: bool = False) -> tuple[str, str]:
+    """(model, text) of the first model that exists; other errors are not caught. ``verbose`` logs what each model is sent."""
     for name in dict.fromkeys(models):
+        if verbose:
+            LOG.info("prompt %s", {"model": name, "prompt": prompt})
         try:
             return name, send(name, prompt)
         except ModelMissing as e:

@@ -7,12 +7,13 @@ each plan is one DataFrame that ends in a bounded top-k, so only ``limit`` (or t
 
 from __future__ import annotations
 
+import logging
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Retrieval
@@ -20,6 +21,8 @@ from ..functions.text import anchor_url, rewrite_gate
 from . import fusion, lexical, rerank, vector
 from .models import embed_text, rank_by_overlap, rewrite_words, with_deadline, with_retries
 
+LOG = logging.getLogger(__name__)
+
 
 @dataclass
 class Corpus:
@@ -32,7 +35,14 @@ class Corpus:
 
 
 def decide_rewrite(corpus: Corpus, query: str, config: Retrieval, model: Callable[[str], str] = rewrite_words) -> tuple[str | None, str]:
-    """The rewritten query, or None with the reason why there is none."""
+    """The rewritten query, or None with the reason why there is none; logged where the settings ask for it."""
+    new, reason = _rewritten(corpus, query, config, model)
+    if config.rewrite_debug:
+        LOG.info("rewrite %s", {"originalQuery": query, "rewrittenQuery": new, "reason": reason})
+    return new, reason
+
+
+def _rewritten(corpus: Corpus, query: str, config: Retrieval, model: Callable[[str], str]) -> tuple[str | None, str]:
     spark = corpus.chunks.sparkSession
     reason = spark.range(1).select(rewrite_gate(F.lit(query), config.rewrite).alias("r")).first().r
     if reason != "eligible":
@@ -50,6 +60,11 @@ def _vector(corpus: Corpus, query: str, k: int, config: Retrieval, embed: Callab
     return vector.top_k(corpus.chunks, embed(query), k, config.threshold, "chunk_id")
 
 
+def branch_names(matched: Column) -> Column:
+    """The vector branches behind a mark of two-branch fusion: original, rewritten or both."""
+    return F.when(matched == "both", F.array(F.lit("vector_original"), F.lit("vector_rewritten"))).otherwise(F.array(F.concat(F.lit("vector_"), matched)))
+
+
 def retrieve(corpus: Corpus, query: str, config: Retrieval, embed: Callable[[str], list[float]] = embed_text, rewriter: Callable[[str], str] = rewrite_words, reranker: Callable = rank_by_overlap) -> tuple[list[dict], dict]:
     """Result rows (content, url, title, anchor, similarity, matched) and the debug record."""
     query = " ".join(re.split(r"\s+", query.strip()))
@@ -69,8 +84,7 @@ def retrieve(corpus: Corpus, query: str, config: Retrieval, embed: Callable[[str
         fused = fusion.fuse(union, keep).select("chunk_id", F.col("score").alias("similarity"), "matched", "position")
     elif new:
         two = fusion.fuse_two(ranked["vector_original"], ranked["vector_rewritten"], keep)
-        names = F.when(F.col("matched") == "both", F.array(F.lit("vector_original"), F.lit("vector_rewritten"))).otherwise(F.array(F.concat(F.lit("vector_"), "matched")))
-        fused = two.select("chunk_id", "similarity", names.alias("matched"), "position")
+        fused = two.select("chunk_id", "similarity", branch_names(F.col("matched")).alias("matched"), "position")
     else:
         fused = ranked["vector_original"].select("chunk_id", "similarity", F.array(F.lit("vector_original")).alias("matched"), F.col("rank").alias("position"))
     payload = corpus.chunks.select("chunk_id", "doc_id", "content", "anchor").join(F.broadcast(fused), "chunk_id").join(corpus.documents.select("doc_id", "url", "title"), "doc_id")

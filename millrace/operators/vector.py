@@ -19,21 +19,34 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def half(vector: Column) -> Column:
+    """Each component rounded to the nearest half-precision number, ties to even; infinite beyond 65504."""
+
+    def one(x: Column) -> Column:
+        size = F.abs(x.cast("double"))
+        step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(size)), F.lit(-14)) - 10)
+        near = F.rint(size / step) * step
+        return F.when(size == 0, F.lit(0.0)).otherwise(F.signum(x.cast("double")) * F.when(near > 65504, F.lit(float("inf"))).otherwise(near))
+
+    return F.transform(vector, one)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two float arrays in double precision, rounded to 6 places; null where either is null or zero."""
     size = F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b))
     return F.when(size > 0, F.round(_dot(a, b) / size, 6))
 
 
-def above(vectors: DataFrame, query: list[float], threshold: float, key: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """key, similarity of the rows above the threshold; no vector leaves the scan's task."""
-    scored = vectors.select(key, cosine(F.col(column), F.array(*map(F.lit, query))).alias("similarity"))
+def above(vectors: DataFrame, query: list[float], threshold: float, key: str = "vec_id", column: str = "embedding", in_half: bool = False) -> DataFrame:
+    """key, similarity of the rows above the threshold; no vector leaves the scan's task. ``in_half`` compares both sides as a store of half-precision vectors keeps them."""
+    own, asked = (half(F.col(column)), np.array(query).astype(np.float16).tolist()) if in_half else (F.col(column), query)
+    scored = vectors.select(key, cosine(own, F.array(*map(F.lit, asked))).alias("similarity"))
     return scored.where(F.col("similarity") > threshold)
 
 
-def top_k(vectors: DataFrame, query: list[float], k: int, threshold: float, key: str = "vec_id", column: str = "embedding") -> DataFrame:
+def top_k(vectors: DataFrame, query: list[float], k: int, threshold: float, key: str = "vec_id", column: str = "embedding", in_half: bool = False) -> DataFrame:
     """key, similarity of the k most similar rows above the threshold; one scan and a bounded heap in each task."""
-    return above(vectors, query, threshold, key, column).orderBy(F.desc("similarity"), key).limit(k)
+    return above(vectors, query, threshold, key, column, in_half).orderBy(F.desc("similarity"), key).limit(k)
 
 
 def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, threshold: float, key: str = "vec_id", column: str = "embedding", cells: Callable[[list[float]], list[int]] | None = None) -> DataFrame:

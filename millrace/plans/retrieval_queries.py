@@ -52,6 +52,17 @@ def vector_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.above(table(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir, 0), 0.25)
 
 
+_STEP = "pow(2.0, greatest(floor(log2(abs(CAST(x AS DOUBLE)))), -14) - 10)"
+_HALF = "list_transform({v}, lambda x: CASE WHEN x = 0 THEN 0.0 ELSE sign(x) * round_even(abs(CAST(x AS DOUBLE)) / " + _STEP + ", 0) * " + _STEP + " END)"
+_HALF_SIM = f"round(list_cosine_similarity({_HALF.format(v='e.embedding')}, {_HALF.format(v='q.embedding')}), 6)"
+
+
+@query(f"SELECT e.vec_id, {_HALF_SIM} AS similarity FROM embeddings e, embeddings q WHERE q.vec_id = 0 AND {_HALF_SIM} > 0.2 ORDER BY similarity DESC, e.vec_id LIMIT 20")
+def vector_topk_half(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most similar vectors where both sides are stored in half precision."""
+    return vector.top_k(table(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir, 0), 20, 0.2, in_half=True)
+
+
 @query(
     f"""SELECT query_id, vec_id, similarity, CAST(rank AS INT) AS rank FROM (
   SELECT q.vec_id AS query_id, e.vec_id, {_SIM} AS similarity, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_SIM} DESC, e.vec_id) AS rank
@@ -258,13 +269,11 @@ def query_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(F.col("item_id").alias("id"), T.equivalent_queries(F.col("text"), F.col("base")).alias("equivalent"))
 
 
-@query(
-    """WITH b AS (SELECT unnest(['original', 'rewritten', 'both']) AS kind)
-SELECT kind, CASE kind WHEN 'both' THEN 'vector_original,vector_rewritten' ELSE 'vector_' || kind END AS branches FROM b"""
-)
+@query(f"WITH {_BRANCH_SQL} SELECT chunk_id, string_agg(source, ',' ORDER BY source) AS branches FROM vec GROUP BY chunk_id")
 def provenance_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = spark.sql("SELECT explode(array('original', 'rewritten', 'both')) AS kind")
-    names = F.when(F.col("kind") == "both", F.array(F.lit("vector_original"), F.lit("vector_rewritten"))).otherwise(F.array(F.concat(F.lit("vector_"), "kind")))
-    return kinds.select("kind", F.array_join(names, ",").alias("branches"))
+    """Branch names of every result of two-branch fusion."""
+    rows = _branches(spark, sf_dir)
+    fused = fusion.fuse_two(rows.where("source = 'vector_original'"), rows.where("source = 'vector_rewritten'"), 24)
+    return fused.select("chunk_id", F.array_join(retrieve.branch_names(F.col("matched")), ",").alias("branches"))
 
 

@@ -1,3 +1,4 @@
+import dataclasses
 import json
 import time
 
@@ -52,6 +53,34 @@ def test_vector_search_against_numpy(spark):
     assert found == {q: best(q) for q in range(3, 200, 10)}
 
 
+def test_half_precision_against_numpy(spark):
+    rng = np.random.default_rng(3)
+    edge = [0.0, -0.0, 1.0, 2.0**-24, 2.0**-25, 3 * 2.0**-25, 6.1e-5, 65504.0, 65519.0, 65520.0, 1e-12, 2049.0, 2051.0, 0.1, -0.3333]
+    own = [edge, *(rng.normal(size=15) * 10.0 ** rng.integers(-7, 5, size=15) for _ in range(200))]
+    rows = [(i, [float(x) for x in np.array(v, dtype=np.float32)]) for i, v in enumerate(own)]
+    vectors = spark.createDataFrame([*rows, (900, None)], "vec_id int, embedding array<float>")
+    found = dict(map(tuple, vectors.select("vec_id", vector.half(vectors.embedding)).collect()))
+    with np.errstate(over="ignore"):
+        assert found.pop(900) is None and all((np.array(found[i]) == np.array(v, dtype=np.float32).astype(np.float16).astype(float)).all() for i, v in rows)
+    near = {i: np.array(v, dtype=np.float32).astype(np.float16).astype(float) for i, v in rows[1:]}
+    query = near[1]
+    expected = {i: round(float(v @ query / np.linalg.norm(v) / np.linalg.norm(query)), 6) for i, v in near.items() if np.isfinite(v).all()}
+    got = dict(map(tuple, vector.above(vectors.where("vec_id > 0"), rows[1][1], 0.1, in_half=True).collect()))
+    assert all(abs(got[i] - x) < 2e-6 for i, x in expected.items() if x > 0.10001)
+
+
+def test_debug_logs_change_nothing(corpus, caplog):
+    caplog.set_level("INFO")
+    plain = Retrieval(limit=2, threshold=0.05, rerank=True, rerank_candidates=4)
+    quiet = retrieve.retrieve(corpus, "proxy server settings", plain)
+    assert not [r for r in caplog.records if r.name.startswith("millrace")]
+    loud = retrieve.retrieve(corpus, "proxy server settings", dataclasses.replace(plain, rewrite_debug=True, rerank_debug=True))
+    assert loud == quiet and [r.name for r in caplog.records if r.name.startswith("millrace")] == ["millrace.operators.retrieve", "millrace.operators.rerank"]
+    assert chat.answer("p", ["m"], lambda m, p: "x", verbose=True) == ("m", "x") and "'prompt': 'p'" in caplog.records[-1].getMessage()
+    env = Retrieval.of({"QUERY_REWRITE_DEBUG": "true", "RERANKING_DEBUG": "true"})
+    assert env.rewrite_debug and env.rerank_debug
+
+
 def test_blocks_of_queries(spark, monkeypatch):
     monkeypatch.setattr(vector, "MAX_QUERY_BLOCK", 2)
     vectors = spark.createDataFrame([(i, [float(i == k) + 0.1 for k in range(5)]) for i in range(5)], "vec_id int, embedding array<float>")

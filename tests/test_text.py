@@ -39,6 +39,11 @@ def test_ends_are_trimmed_as_the_pattern_says(spark):
     assert one(spark, T.normalize_whitespace_ends(F.lit(None).cast("string"))) is None
 
 
+def test_token_estimate_of_signs_beyond_the_basic_plane(spark):
+    assert one(spark, T.estimate_tokens(F.lit("\U0001f600" * 4))) == 1 and one(spark, T.estimate_tokens(F.lit("\U0001f600" * 4), utf16=True)) == 2
+    assert one(spark, T.estimate_tokens(F.lit("\u20acbcde"), utf16=True)) == 2 and one(spark, T.estimate_tokens(F.lit(""), utf16=True)) == 0
+
+
 def test_citations(spark):
     assert one(spark, T.cited_indexes(F.lit("x [2, 1] and [2][9], [0] [a] [3 4]"))) == [1, 2, 3, 9]
     assert one(spark, T.strip_references(F.lit("Answer [1].\n\n**References:**\n[1] a\nb"))) == "Answer [1]."
