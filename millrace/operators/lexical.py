@@ -37,9 +37,10 @@ def trigram_scores(postings: DataFrame, query: str, key: str = "chunk_id") -> Da
 def trigram_scan(chunks: DataFrame, query: str, key: str = "chunk_id", text: str = "content") -> DataFrame:
     """key, trigram as by ``trigram_scores``, for texts without an index: one pass over the rows, nothing exploded or shuffled."""
     own = chunks.sparkSession.range(1).select(trigrams(F.lit(query)).alias("grams")).first().grams
-    grams = chunks.select(key, trigrams(F.col(text)).alias("grams"))
-    both = F.size(F.array_intersect("grams", F.array(*map(F.lit, own)).cast("array<string>")))
-    hit = grams.select(key, F.size("grams").alias("n"), both.alias("both")).where("both > 0")
+    wanted = F.array(*map(F.lit, own)).cast("array<string>")
+    counts = F.transform(F.array(trigrams(F.col(text))), lambda g: F.struct(F.size(g).alias("n"), F.size(F.array_intersect(g, wanted)).alias("both")))
+    # a generator, because a filter would be pushed below the counts and split each text a second time
+    hit = chunks.select(key, F.inline(F.filter(counts, lambda c: c["both"] > 0)))
     return hit.select(key, F.round(F.col("both") / (F.col("n") + len(own) - F.col("both")), 6).alias("trigram"))
 
 
