@@ -16,6 +16,8 @@ from ..functions.text import trigrams
 
 FTS_WEIGHT, TRIGRAM_WEIGHT = 0.7, 0.3
 TRIGRAM_THRESHOLD = 0.18
+#: Up to so many keys are sent to every task to leave out texts before they are split; they are counted first.
+BROADCAST_KEYS = 2_000_000
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -142,14 +144,21 @@ def fts_scores_indexed(postings: DataFrame, query: str, key: str = "chunk_id") -
     return hit.mapInPandas(run, f"{key} {postings.schema[key].dataType.simpleString()}, fts double")
 
 
-def search(chunks: DataFrame, postings: DataFrame | None, query: str, limit: int, threshold: float = TRIGRAM_THRESHOLD, key: str = "chunk_id", text: str = "content", fts: bool = True, stems: DataFrame | None = None) -> DataFrame:
+def search(chunks: DataFrame, postings: DataFrame | None, query: str, limit: int, threshold: float = TRIGRAM_THRESHOLD, key: str = "chunk_id", text: str = "content", fts: bool = True, stems: DataFrame | None = None, within: DataFrame | None = None) -> DataFrame:
     """key, fts, trigram, similarity: candidates match or are similar; the limit comes before the second filter, as in the contract.
 
-    ``postings`` and ``stems`` are the stored trigram and full-text indexes; without them the texts are read.
+    ``postings`` and ``stems`` are the stored trigram and full-text indexes; without them the texts are read. ``within``
+    has the keys that the chunks are joined with: their scores are, after the scan of the texts. No text is shuffled.
     """
-    grams = trigram_scan(chunks, query, key, text) if postings is None else trigram_scores(postings, query, key)
+    if within is not None and within.count() <= BROADCAST_KEYS:  # beyond it all texts are scanned, with the same result
+        chunks = chunks.join(F.broadcast(within.select(key)), key, "left_semi")
+
+    def joined(scores: DataFrame) -> DataFrame:
+        return scores if within is None else scores.join(within.select(key).hint("merge"), key)
+
+    grams = joined(trigram_scan(chunks, query, key, text) if postings is None else trigram_scores(postings, query, key))
     if fts:
-        both = grams.join(fts_scores(chunks, query, key, text) if stems is None else fts_scores_indexed(stems, query, key), key, "full_outer").fillna(0.0, ["trigram"])
+        both = grams.join(joined(fts_scores(chunks, query, key, text) if stems is None else fts_scores_indexed(stems, query, key)), key, "full_outer").fillna(0.0, ["trigram"])
         rows = both.withColumn("is_match", F.col("fts").isNotNull()).fillna(0.0, ["fts"])
     else:
         rows = grams.withColumns({"fts": F.lit(0.0), "is_match": F.lit(False)})

@@ -26,12 +26,17 @@ LOG = logging.getLogger(__name__)
 
 @dataclass
 class Corpus:
-    """chunks: chunk_id, doc_id, content, anchor, embedding; documents: doc_id, url, title; postings and stems: the stored trigram and full-text indexes (texts are read where there is none)."""
+    """chunks: chunk_id, doc_id, content, anchor, embedding; documents: doc_id, url, title; postings and stems: the stored trigram and full-text indexes (texts are read where there is none).
+
+    vectors: chunk_id, embedding, where they are a table of their own. The corpus is then the inner join of the two, but
+    ids and scores are joined, never texts.
+    """
 
     chunks: DataFrame
     documents: DataFrame
     postings: DataFrame | None = None
     stems: DataFrame | None = None
+    vectors: DataFrame | None = None
 
 
 def decide_rewrite(corpus: Corpus, query: str, config: Retrieval, model: Callable[[str], str] = rewrite_words) -> tuple[str | None, str]:
@@ -57,7 +62,19 @@ def _rewritten(corpus: Corpus, query: str, config: Retrieval, model: Callable[[s
 
 
 def _vector(corpus: Corpus, query: str, k: int, config: Retrieval, embed: Callable[[str], list[float]]) -> DataFrame:
-    return vector.top_k(corpus.chunks, embed(query), k, config.threshold, "chunk_id")
+    if corpus.vectors is None:
+        return vector.top_k(corpus.chunks, embed(query), k, config.threshold, "chunk_id")
+    # merged at every size, so that what is shuffled grows as the ids do
+    hits = vector.above(corpus.vectors, embed(query), config.threshold, "chunk_id").join(corpus.chunks.select("chunk_id").hint("merge"), "chunk_id")
+    return hits.orderBy(F.desc("similarity"), "chunk_id").limit(k)
+
+
+def _payload(corpus: Corpus, fused: DataFrame) -> DataFrame:
+    """The fused rows with their chunks and documents: each table is read once and only the few fused rows are sent."""
+    rows = corpus.chunks.select("chunk_id", "doc_id", "content", "anchor").join(F.broadcast(fused), "chunk_id")
+    if corpus.vectors is not None:
+        rows = corpus.vectors.select("chunk_id").join(F.broadcast(rows), "chunk_id")
+    return corpus.documents.select("doc_id", "url", "title").join(F.broadcast(rows), "doc_id")
 
 
 def branch_names(matched: Column) -> Column:
@@ -74,7 +91,8 @@ def retrieve(corpus: Corpus, query: str, config: Retrieval, embed: Callable[[str
     texts = {"original": query} | ({"rewritten": new} if new else {})
     parts = {f"vector_{name}": _vector(corpus, text, each if config.hybrid or new else keep, config, embed) for name, text in texts.items()}
     if config.hybrid:
-        parts |= {f"lexical_{name}": lexical.search(corpus.chunks, corpus.postings, text, each, config.trigram_threshold, stems=corpus.stems).select("chunk_id", "similarity") for name, text in texts.items()}
+        within = None if corpus.vectors is None else corpus.vectors.select("chunk_id")
+        parts |= {f"lexical_{name}": lexical.search(corpus.chunks, corpus.postings, text, each, config.trigram_threshold, stems=corpus.stems, within=within).select("chunk_id", "similarity") for name, text in texts.items()}
     # each branch runs once: its few rows (the branch limit) go on as a local table
     tops = {name: fusion.ranked(part).select("chunk_id", "similarity", "rank") for name, part in parts.items()}
     found = {name: part.collect() for name, part in tops.items()}
@@ -87,8 +105,7 @@ def retrieve(corpus: Corpus, query: str, config: Retrieval, embed: Callable[[str
         fused = two.select("chunk_id", "similarity", branch_names(F.col("matched")).alias("matched"), "position")
     else:
         fused = ranked["vector_original"].select("chunk_id", "similarity", F.array(F.lit("vector_original")).alias("matched"), F.col("rank").alias("position"))
-    payload = corpus.chunks.select("chunk_id", "doc_id", "content", "anchor").join(F.broadcast(fused), "chunk_id").join(corpus.documents.select("doc_id", "url", "title"), "doc_id")
-    rows = [r.asDict() for r in payload.withColumn("url", anchor_url(F.col("url"), F.col("anchor"))).orderBy("position").collect()]
+    rows = [r.asDict() for r in _payload(corpus, fused).withColumn("url", anchor_url(F.col("url"), F.col("anchor"))).orderBy("position").collect()]
     done = rerank.rerank(query, rows, config, reranker)
     counts = {name: len(rows) for name, rows in found.items()}
     debug = {

@@ -212,9 +212,9 @@ def rerank_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def retrieve_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The orchestrator in its three plans (one vector branch; original and rewritten; hybrid with reranking) for one passage."""
     documents = table(spark, sf_dir, "documents")
-    chunks = _chunks(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"), "chunk_id")
-    chunks = chunks.select("chunk_id", F.col("chunk_id").alias("doc_id"), "content", F.lit(None).cast("string").alias("anchor"), "embedding")
-    corpus = retrieve.Corpus(chunks, documents.select("doc_id", F.concat(F.lit("https://docs.example.com/"), "doc_id").alias("url"), F.col("source").alias("title")))
+    chunks = _chunks(spark, sf_dir).select("chunk_id", F.col("chunk_id").alias("doc_id"), "content", F.lit(None).cast("string").alias("anchor"))
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    corpus = retrieve.Corpus(chunks, documents.select("doc_id", F.concat(F.lit("https://docs.example.com/"), "doc_id").alias("url"), F.col("source").alias("title")), vectors=vectors)
     passage = " ".join(_passage(spark, sf_dir, 2).split()[:12])
     plans = {"vector": Retrieval(threshold=-1.0), "rewritten": Retrieval(threshold=-1.0, rewrite=True), "hybrid": Retrieval(threshold=-1.0, rewrite=True, hybrid=True, rerank=True)}
     out = []

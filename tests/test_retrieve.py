@@ -8,6 +8,7 @@ import pytest
 from millrace.config import Retrieval
 from millrace.operators import chat, lexical, rerank, retrieve, vector
 from millrace.operators.models import embed_text
+from millrace.plans import retrieval_queries
 
 
 def candidates(n):
@@ -120,6 +121,38 @@ def test_hybrid_plan_with_reranking(corpus):
     assert debug["reranking"]["status"] == "skipped_below_limit" and len(strict) == 2
 
 
+@pytest.mark.parametrize("most", [0, 100])
+def test_vectors_apart_give_the_joined_corpus(spark, corpus, most, monkeypatch):
+    monkeypatch.setattr(lexical, "BROADCAST_KEYS", most)
+    chunks = corpus.chunks.drop("embedding").unionByName(spark.createDataFrame([(20, 0, "proxy server ports", None), (21, 0, None, None)], "chunk_id int, doc_id int, content string, anchor string"))
+    vectors = corpus.chunks.where("chunk_id <> 3").select("chunk_id", "embedding").unionByName(spark.createDataFrame([(21, None), (99, embed_text("proxy server"))], "chunk_id int, embedding array<float>"))
+    apart = retrieve.Corpus(chunks, corpus.documents, vectors=vectors)
+    whole = retrieve.Corpus(chunks.join(vectors, "chunk_id"), corpus.documents)
+    for config in (Retrieval(threshold=-1.0, limit=3), Retrieval(threshold=-1.0, limit=9, rewrite=True, hybrid=True)):
+        found = retrieve.retrieve(apart, "please tell me the proxy server ports", config)
+        assert found == retrieve.retrieve(whole, "please tell me the proxy server ports", config) and found[0]
+
+
+def test_retrieve_plans_shuffles_no_texts(spark, tmp_path):
+    texts = [f"{' '.join(words)} {i}" for i, words in enumerate(np.random.default_rng(0).integers(0, 10**9, (64, 2000)).astype(str).tolist())]
+    spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, embed_text(t)) for i, t in enumerate(texts)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(2, texts[5])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def written():
+        own = spark._jsc.sc().statusStore().executorList(False)
+        return sum(own.apply(i).totalShuffleWrite() for i in range(own.size()))
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = written()
+        assert retrieval_queries.retrieve_plans(spark, str(tmp_path)).count() == 15
+        spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        assert written() - before < sum(map(len, texts)) / 4
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_rewrite_decisions(corpus):
     config = Retrieval(rewrite=True)
     assert retrieve.decide_rewrite(corpus, "what about the other one", config)[1] == "context_dependent"
