@@ -1,4 +1,7 @@
+import gc
+
 import pandas as pd
+import pyarrow as pa
 
 from millrace.operators import structure
 from millrace.operators.structure import chunk_elements, parse_page, split_rows, windows
@@ -96,3 +99,23 @@ def test_deep_nesting_and_long_tables():
     groups = split_rows(rows, 500)
     assert all(g[0] == rows[0] for g in groups) and [r for g in groups for r in g[1:]] == rows[1:]
     assert all(len(structure.table_text(g)) <= 500 for g in groups)
+
+
+def test_trees_are_freed_without_the_collector():
+    gc.collect()
+    gc.disable()
+    try:
+        parse_page("<title>T</title><nav><ul><li>a<li>b</ul></nav><article><h1>H</h1>" + "<p>x <b>y</b></p>" * 50 + "</article>")
+        assert gc.collect() < 20
+    finally:
+        gc.enable()
+
+
+def test_workers_get_small_batches(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.nbytes]}, schema=pa.schema([("n", pa.int64())]))
+
+    docs = spark.range(2000).selectExpr("id AS doc_id", "repeat('word ', 2000) AS text").coalesce(1)
+    found = [r.n for r in structure.window_chunks(docs).mapInArrow(sizes, "n long").collect()]
+    assert len(found) > 4 and max(found) < 6 << 20
