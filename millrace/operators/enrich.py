@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import Enrichment
 from ..functions.text import clean_strings, kept_if, normalize_whitespace_ends, once
+from .batches import small_batches
 from .models import with_deadline, with_retries
 
 VERSION = "meta-v1"
@@ -62,6 +63,7 @@ def enrich(chunks: DataFrame, config: Enrichment = Enrichment(), model: Callable
         for kinds, contents, verdicts in parts:
             yield pd.Series([one(*x) for x in zip(kinds, contents, verdicts, strict=True)], dtype=object)
 
+    small_batches(chunks.sparkSession)
     rows = chunks.withColumn("reason", policy(F.col("content_kind"), F.col("content"), config))
     rows = rows.withColumn("reply", ask("content_kind", "content", "reason")).withColumn("enrichment", validated(F.col("content_kind"), F.col("reply")))
     status = F.when(F.col("reason") != "eligible", "skipped_by_policy").when(F.col("enrichment").isNotNull(), "success").otherwise("failed")
