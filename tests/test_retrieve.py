@@ -135,7 +135,7 @@ def test_vectors_apart_give_the_joined_corpus(spark, corpus, most, monkeypatch):
 
 def test_retrieve_plans_shuffles_no_texts(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(retrieval_queries, "spread", lambda df: df)  # deals out tables of few files, whatever is joined
-    texts = [f"{' '.join(words)} {i}" for i, words in enumerate(np.random.default_rng(0).integers(0, 10**9, (64, 2000)).astype(str).tolist())]
+    texts = [f"{' '.join(words)} {i}" for i, words in enumerate(np.random.default_rng(0).integers(0, 10**9, (640, 200)).astype(str).tolist())]
     spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, embed_text(t)) for i, t in enumerate(texts)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     spark.createDataFrame([(2, texts[5])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
